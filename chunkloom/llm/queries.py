@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, tiff, toxicity
+from . import langid, neardup, packing, tiff, toxicity
 from .common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(), "score", "predicted")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).select("doc_id", _held_out(), "lang_pred", "score")
@@ -37,7 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op5_language, op6_tiff_media, op7_packing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_near_duplicates, op5_language, op6_tiff_media, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
