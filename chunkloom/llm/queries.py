@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, tiff, toxicity
+from . import langid, neardup, packing, pii, secrets, tiff, toxicity
 from .common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.scan(docs, pii.train(docs)))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_near_duplicates, op5_language, op6_tiff_media, op7_packing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_near_duplicates, op5_language, op6_tiff_media, op7_packing, op8_secrets, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
