@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, pii, secrets, tiff, toxicity
+from . import decontam, langid, licenses, neardup, packing, pii, secrets, tiff, toxicity, urlrules
 from .common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def _held_out() -> F.Column:
     return (~F.coalesce(is_training(F.col("doc_id")), F.lit(True))).alias("held_out")
 
 
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    marks = labels.select(F.col("doc_id").alias("_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    model = urlrules.mine(pages.join(marks, pages["page_id"] == marks["_id"]).select("url", "block"))
+    return urlrules.judge(pages, model)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -27,6 +34,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).select("doc_id", _held_out(), "lang_pred", "score")
@@ -45,13 +56,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digest(pii.scan(docs, pii.train(docs)))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_near_duplicates, op5_language, op6_tiff_media, op7_packing, op8_secrets, op10_personal_data)}
+    every = (
+        op1_url_rules, op2_toxicity, op3_near_duplicates, op4_decontamination, op5_language,
+        op6_tiff_media, op7_packing, op8_secrets, op9_licenses, op10_personal_data,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
