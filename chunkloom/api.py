@@ -86,6 +86,8 @@ def refs_data_source():
     """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+    drivers, extensions = dict(base._DRIVERS), dict(base._EXTENSIONS)  # workers know no drivers of their own
+
     class RefsReader(DataSourceReader):
         def __init__(self, options):
             self.options = dict(options)
@@ -94,10 +96,11 @@ def refs_data_source():
             return [InputPartition((i, p)) for i, p in enumerate(self.options["path"].split(","))]
 
         def read(self, partition):
+            base._EXTENSIONS.update(extensions)
             order, path = partition.value
             name = self.options.get("driver") or base.driver_for(path)
             opts = {k: v for k, v in self.options.items() if k not in ("path", "driver")}
-            yield from base._batches(base.rows_of(path, order, base._DRIVERS[name][1], opts))
+            yield from base._batches(base.rows_of(path, order, drivers[name][1], opts))
 
     class Refs(DataSource):
         @classmethod
