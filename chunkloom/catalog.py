@@ -171,10 +171,10 @@ def window_read_sum(spark, d):
     return entry(spark, d)
 
 
-@query(f"with {CELLS_SQL} select i0, i1, round(v::double, 4) as value from cells where i0 % 7 = 0 and i1 = i0 % 64")
+@query(f"with {CELLS_SQL} select i0, i1, round(v::double, 4) + 0.0::double as value from cells where i0 % 7 = 0 and i1 = i0 % 64")
 def point_select(spark, d):
     points = _t(spark, d, "embeddings").filter("vec_id % 7 = 0").select(F.col("vec_id").alias("i0"), (F.col("vec_id") % 64).alias("i1"))
-    return window.read_points(embeddings(spark, d), "emb", points).select("i0", "i1", F.round(F.col("value").cast("double"), 4).alias("value"))
+    return window.read_points(embeddings(spark, d), "emb", points).select("i0", "i1", (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"))
 
 
 @query(f"with {CELLS_SQL} select i0, count(*) filter (w) as n_filled, round(sum(case when w then -9999 else v::double end), 3) as total from (select *, ((i0 // 50) * 4 + i1 // 16) % 7 = 3 as w from cells) group by i0")
@@ -477,11 +477,50 @@ def crs_lookup(spark, d):
     return raster.crs_of(own.unionByName(maps)).select("array_path", "epsg")
 
 
-@query(f"with {CELLS_SQL} select i0, i1, round(v::double, 4) as emb, round(i0 * 0.5 + 100, 4) as vec from cells where i0 < 60 and i1 < 20")
+@query(f"with {CELLS_SQL} select i0, i1, round(v::double, 4) + 0.0::double as emb, round(i0 * 0.5 + 100, 4) as vec from cells where i0 < 60 and i1 < 20")
 def raster_with_coordinates(spark, d):
     m = embeddings(spark, d)
     n = m.array("emb")["shape"][0]
     axis = window.encode_cells(spark.range(n).select(F.col("id").alias("i0"), (F.col("id") * 0.5 + 100).alias("value")), "vec", "<f8", [n], [64])
     arrays = m.arrays.unionByName(spark.createDataFrame([("vec", "<f8", [n], [64], ["vec"], None, None, None, "{}", "explicit", None)], schema.ARRAYS))
     both = m.with_(arrays=arrays, chunks=m.chunks.unionByName(axis))
-    return raster.raster(both, "emb", [(0, 60), (0, 20)]).select("i0", "i1", F.round("value", 4).alias("emb"), F.round("vec", 4).alias("vec"))
+    return raster.raster(both, "emb", [(0, 60), (0, 20)]).select("i0", "i1", (F.round("value", 4) + 0.0).alias("emb"), F.round("vec", 4).alias("vec"))
+
+
+@query(f"with {CELLS_SQL} select i0, i1, round(v::double, 4) + 0.0::double as emb, round(v::double * 2 + 1, 4) + 0.0::double as twice from cells where i0 < 60")
+def raster_stack(spark, d):
+    m = embeddings(spark, d)
+    n, k = m.array("emb")["shape"]
+    cells = embedding_cells(spark, d).filter("i0 < 100").select("i0", "i1", F.col("value"))
+    more = window.encode_cells(cells, "twice", "<f4", [n, k], [25, 64])
+    row = ("twice", "<f4", [n, k], [25, 64], ["vec", "dim"], None, None, None, '{"scale_factor": 2, "add_offset": 1}', "explicit", None)
+    both = m.with_(arrays=m.arrays.unionByName(spark.createDataFrame([row], schema.ARRAYS)), chunks=m.chunks.unionByName(more))
+    out = raster.raster_stack(both, "", [(0, 60), None])
+    return out.select("i0", "i1", (F.round("emb", 4) + 0.0).alias("emb"), (F.round("twice", 4) + 0.0).alias("twice"))
+
+
+@query("select 'label' as array_path, (count(distinct member) > 1)::int as shared, (count(distinct h) > 1)::int as differs from (select vec_id % 2 as member, sum(label + 0) as h from embeddings group by all)")
+def concat_values_check(spark, d):
+    """Shared arrays of two members compared by their decoded cells."""
+    e = _t(spark, d, "embeddings")
+    half = lambda k: e.filter(F.col("vec_id") % 2 == k).select(F.floor(F.col("vec_id") / 2).alias("i0"), F.col("label").cast("int").alias("value"))
+    n = half(0).agg(F.max("i0") + 1).first()[0]
+    row = ("label", "<i4", [n], [64], ["vec"], None, None, None, "{}", "explicit", None)
+    ms = [Manifest(spark.createDataFrame([], schema.FILES), spark.createDataFrame([row], schema.ARRAYS), window.encode_cells(half(k), "label", "<i4", [n], [64])) for k in (0, 1)]
+    differing = combine.shared_differences(ms, "time")
+    return spark.createDataFrame([("label", 1, int("label" in differing))], "array_path string, shared int, differs int")
+
+
+@query("select strftime(time_bucket(interval '6 hours', ts), '%Y-%m-%d %H') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def stream_windowed_series(spark, d):
+    """The stream of events, read to its end, as counts and sums by type and window."""
+    import uuid
+
+    from .streaming.append import windowed_series
+
+    kind = _t(spark, d, "events").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    name = f"series_{uuid.uuid4().hex}"
+    run = windowed_series(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))

@@ -21,7 +21,7 @@ def append_chunks(stream: DataFrame, steps: int, below: int, to: str, checkpoint
 def windowed_series(events: DataFrame, every: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Chunk statistics of an event stream by type and time window, with a watermark for late rows."""
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type")
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )
