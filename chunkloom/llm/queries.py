@@ -73,5 +73,18 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in every}
 
 
+#: Exact links by an inverted join of shingles, and components by reachability.
+NEAR_DUPLICATES_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+ sizes as (select words.doc_id, count(s) as n from words left join shingles using (doc_id) group by words.doc_id),
+ links as (select a.doc_id as a, b.doc_id as b from shingles a join shingles b using (s) join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+ reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select s.doc_id, s.n as n_shingles, c.component_id, s.doc_id = c.component_id as kept from sizes s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": NEAR_DUPLICATES_SQL}
