@@ -64,13 +64,15 @@ def _array_row(path: str, doc: dict, attrs: dict) -> tuple:
 def load_json(spark: SparkSession, path: str) -> Manifest:
     """A version 1 document: templates are put in, the four shapes of references told apart."""
     text = spark.read.text(path, wholetext=True)
-    doc = F.from_json("value", "version int, gen string, templates map<string,string>, refs map<string,string>")
-    top = text.select(doc.alias("d")).select("d.*").first()
-    if top is None or top["refs"] is None or top["version"] is None:
+    doc = F.from_json("value", "version int, gen string, templates map<string,string>")
+    top = text.select(doc.alias("d"), F.get_json_object("value", "$.refs").isNotNull().alias("has_refs")).select("d.*", "has_refs").first()
+    if top is None or not top["has_refs"] or top["version"] is None:
         raise ValueError(f"{path}: version and refs are needed")
     if top["version"] != 1 or top["gen"] is not None:
         raise ValueError(f"{path}: version {top['version']} or generated references are not supported")
-    refs = text.select(F.explode(F.from_json(F.get_json_object("value", "$.refs"), "map<string,string>")).alias("key", "ref"))
+    # One task parses the document, which is one JSON object; its rows are dealt out and kept.
+    entries = F.from_json("value", "refs map<string,string>")["refs"]
+    refs = text.select(F.explode(entries).alias("key", "ref")).repartition(spark.sparkContext.defaultParallelism).persist()
     docs = {r["key"]: r["ref"] for r in refs.filter(F.col("key").rlike(r"(^|/)\.z(array|attrs|group)$")).collect()}
     arrays = []
     for key, ref in sorted(docs.items()):
