@@ -68,7 +68,7 @@ def sampled_ids(labelled: DataFrame, key: str, label: str, per_class: int) -> Da
     for value, n in counts.items():
         frac = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(frac)
     spot = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.filter(spot < frac).select(key, label).dropDuplicates([key]).limit(2 * per_class * max(1, len(counts)))
+    return labelled.filter(spot < frac).groupBy(key).agg(F.max(label).alias(label)).limit(2 * per_class * max(1, len(counts)))
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

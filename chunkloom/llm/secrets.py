@@ -25,8 +25,9 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that have 24 characters
 BASE = ("assign", "access", "hex")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
-#: A token: a whole run of the alphabet with 16 characters and a digit among them.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: A token: a whole run of the alphabet with 16 characters, a digit and a letter among them
+#: (a number alone is no secret's format; the scan for personal data judges numbers).
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_]{3,40}(?![A-Za-z0-9+/_=-])"
 
 
