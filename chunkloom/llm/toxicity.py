@@ -15,7 +15,7 @@ so that neither a repeated word nor a short last window weighs more than it says
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ PIECE = 40
 
 @dataclass(frozen=True)
 class Params:
-    per_class: int = 1500  # labelled texts of each class that the model is fitted on, at most about
+    per_class: int = 1600  # labelled texts of each class that the model is fitted on, at most about
     n_min: int = 3
     n_max: int = 6
     buckets: int = 1 << 17
@@ -110,22 +110,31 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[str | None], labels: list[int], p: Params = Params()) -> Model:
+def fit(texts: Iterable[str | None], labels: list[int], p: Params = Params()) -> Model:
     """Joint training on labelled texts; with no texts or one class, a model of that class's prior."""
     rng = np.random.default_rng(p.seed)
     emb = rng.normal(0, 0.1, (p.buckets, p.dim)).astype(np.float32)
     soft = rng.normal(0, 0.1, (p.dim, 2)).astype(np.float32)
-    y = np.array(labels, np.float64)
-    docs = [words_of(t) for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, y = [docs[i] for i in keep], y[keep]
+    vocab: dict[str, int] = {}
+    ids, kept = [], []
+    for text, label in zip(texts, labels):
+        words = words_of(text)
+        if words:
+            ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
+            kept.append(label)
+    y = np.array(kept, np.float64)
     if not len(y) or y.min() == y.max():
         prior = 4.0 if len(y) and y[0] == 1 else -4.0
         return Model(p, emb * 0, soft, prior)
-    vocab: dict[str, int] = {}
-    ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in d), np.int64, len(d)) for d in docs]
-    grams, per_word = grams_of(list(vocab), p)
+    known = list(vocab)
+    del vocab
+    parts = [grams_of(known[i : i + 4096], p) for i in range(0, len(known), 4096)]
+    grams, per_word = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    n_words = len(known)
+    del parts, known
     gram_at = np.concatenate([[0], np.cumsum(per_word)])
+    # Words in groups whose n-grams are summed together, so that no step holds a number for every n-gram at once.
+    groups = [(i, min(i + 16384, n_words)) for i in range(0, n_words, 16384)]
     flat = np.concatenate(ids)
     once = np.concatenate([_once(d, p.window) for d in ids])
     starts, doc_first = [], []
@@ -157,8 +166,7 @@ def fit(texts: list[str | None], labels: list[int], p: Params = Params()) -> Mod
     for t in range(1, p.steps + 1):
         diff = soft[:, 1] - soft[:, 0]
         gram_score = emb @ diff
-        cum = np.concatenate([[0.0], np.cumsum(gram_score[grams], dtype=np.float64)])
-        word_score = cum[gram_at[1:]] - cum[gram_at[:-1]]
+        word_score = np.concatenate([np.add.reduceat(gram_score[grams[gram_at[i] : gram_at[j]]], gram_at[i:j] - gram_at[i]) for i, j in groups])
         logit = np.add.reduceat(word_score[flat] * once, starts) / size + bias
         if t <= warm:  # the label holds for every window of a text
             pick = np.arange(n_win)
@@ -175,11 +183,14 @@ def fit(texts: list[str | None], labels: list[int], p: Params = Params()) -> Mod
         coef = err / size[pick]
         span = ends[pick] - starts[pick]
         words = np.repeat(starts[pick] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-        by_word = np.bincount(flat[words], np.repeat(coef, span) * once[words], minlength=len(vocab))
+        by_word = np.bincount(flat[words], np.repeat(coef, span) * once[words], minlength=n_words)
         used = np.flatnonzero(by_word)
         k = per_word[used]
-        where = np.repeat(gram_at[used] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        c = np.bincount(grams[where], np.repeat(by_word[used], k), minlength=p.buckets)
+        c = np.zeros(p.buckets)
+        for i in range(0, len(used), 16384):
+            u, m = used[i : i + 16384], k[i : i + 16384]
+            where = np.repeat(gram_at[u] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            c += np.bincount(grams[where], np.repeat(by_word[u], m), minlength=p.buckets)
         grad_diff = c @ emb
         step(emb, (c[:, None] * diff[None, :]).astype(np.float32), mean_e, sq_e, t, 0.1)
         step(soft, np.stack([-grad_diff, grad_diff], 1).astype(np.float32), mean_s, sq_s, t, 0.1)
@@ -231,19 +242,26 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Fit on a bounded, hash-picked sample of labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     `docs` has doc_id and text; `labels` doc_id and toxic. Rows with a null id or
-    label teach nothing. At most about 2 x per_class texts reach the driver.
+    label teach nothing. The bounded sample, about 2 x per_class texts, is fitted in one task,
+    whose worker has more memory to itself than a driver; the driver gets the model.
     """
     lab = (
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & is_training(F.col("_id")))
     )
     ids = F.broadcast(sampled_ids(lab, "_id", "_y", p.per_class))  # its size is bounded by per_class
-    rows = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .join(ids, "_id").limit(8 * p.per_class).collect()
-    )
-    rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
-    return fit([r["_text"] for r in rows], [r["_y"] for r in rows], p)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(ids, "_id").limit(8 * p.per_class).select("_id", "_text", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(((i, t or "", y) for b in batches for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: r[:2])
+        m = fit([t for _, t, _ in got], [y for _, _, y in got], p)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.embeddings.tobytes(), m.softmax.tobytes())] + [pa.array([m.bias])], names=["e", "s", "b"])
+
+    made = rows.repartition(1).mapInArrow(run, "e binary, s binary, b double").collect()
+    if not made:
+        return fit([], [], p)
+    r = made[0]
+    return Model(p, np.frombuffer(r["e"], np.float32).reshape(p.buckets, p.dim), np.frombuffer(r["s"], np.float32).reshape(p.dim, 2), r["b"])
 
 
 def _slices(batches, field):
