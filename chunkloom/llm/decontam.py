@@ -4,8 +4,10 @@ Test items form an inverted index with BM25 weights; each weight is divided by i
 own total, so that one threshold serves all items. Every passage of every document is a
 query that retrieves all items scoring at least `least_score`, by block-max WAND: lists
 in item order, a bound for each list and for each block of it, and a pivot below which no
-item can reach the threshold. Retrieved items are verified on five-word shingles of their
-question and answer.
+item can reach the threshold. Passages that cannot reach it are set aside first, many at
+once: an item's commonest terms together weigh half the threshold at most, so its other
+terms, whose lists are short, must bring the other half. Retrieved items are verified on
+five-word shingles of their question and answer.
 """
 
 from __future__ import annotations
@@ -68,21 +70,24 @@ class Index:
         idf = {w: log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.terms = {w: i for i, w in enumerate(sorted(df))}
         lists: list[list[tuple[int, float]]] = [[] for _ in df]
-        needed = set()
+        essential: list[list[tuple[int, float]]] = [[] for _ in df]
         for j, (bag, size) in enumerate(zip(bags, sizes)):
             raw = {w: idf[w] * c * (p.k1 + 1) / (c + p.k1 * (1 - p.b + p.b * size / mean)) for w, c in bag.items()}
             total = sum(raw.values())
-            spare = 1 - p.least_score + 1e-9
-            for w in sorted(raw, key=lambda w: (-raw[w], w)):
+            common = p.least_score / 2
+            for w in sorted(raw, key=lambda w: (-df[w], w)):
                 lists[self.terms[w]].append((j, raw[w] / total))
-                if spare >= 0:  # no passage reaches the threshold without one of these
-                    needed.add(self.terms[w])
-                    spare -= raw[w] / total
+                common -= raw[w] / total
+                if common < 0:
+                    essential[self.terms[w]].append((j, raw[w] / total))
         self.lists = lists
         self.bound = [max(w for _, w in x) for x in lists]
         self.block_bound = [[max(w for _, w in x[k : k + p.block]) for k in range(0, len(x), p.block)] for x in lists]
-        self.needed = np.zeros(len(lists) + 1, bool)  # the last row is for words that no item has
-        self.needed[list(needed)] = True
+        # Essential postings of a term are a stretch of two arrays; the last term stands for unknown words.
+        self.n_essential = np.array([len(x) for x in essential] + [0])
+        self.first_essential = np.concatenate([[0], np.cumsum(self.n_essential)[:-1]])
+        self.essential_items = np.array([j for x in essential for j, _ in x], np.int64)
+        self.essential_weights = np.array([w for x in essential for _, w in x])
         self.parts = []
         for _, t in items:
             q, a = question_and_answer(t)
@@ -154,28 +159,48 @@ class Index:
         return fq / len(q) if q else 1.0, fa / len(a) if a else 1.0, (fq + fa) / (len(q) + len(a))
 
     def search(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item id, score, question overlap, answer overlap) of the verified items, each once."""
-        if not text or not self.ids:
-            return []
-        words = words_of(text)
-        unknown = len(self.lists)
-        get = self.terms.get
-        ids = np.fromiter([get(w, unknown) for w in words], np.int64, len(words))
-        hits = np.flatnonzero(self.needed[ids])
-        if not len(hits):
-            return []
-        stride = self.longest  # any run of an item's length lies whole in a passage of two strides
-        best: dict[int, tuple[float, float, float]] = {}
-        last = max(0, -(-(len(words) - 2 * stride) // stride))
-        passages = sorted({min(last, int(h) // stride - d) for h in hits for d in (0, 1) if int(h) // stride - d >= 0} | ({last} if hits[-1] >= last * stride else set()))
-        for k in passages:
-            lo, hi = k * stride, (k + 2) * stride
-            terms = np.unique(ids[lo:hi])
+        return self.search_all([text])[0]
+
+    def search_all(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text (item id, score, question overlap, answer overlap) of its verified items, each once."""
+        out: list[list] = [[] for _ in texts]
+        if not self.ids:
+            return out
+        unknown, stride, get = len(self.lists), self.longest, self.terms.get
+        words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) for w in words])
+        # A passage is two strides long, so any run of an item's length lies whole in one. A text has a
+        # passage more than it needs, so that its strides are numbered apart from the next text's.
+        strides = sizes // stride + 2
+        first = np.concatenate([[0], np.cumsum(strides)[:-1]])
+        ids = np.fromiter((get(w, unknown) for d in words for w in d), np.int64, int(sizes.sum()))
+        n = self.n_essential[ids]
+        hit = np.flatnonzero(n)
+        if not len(hit):
+            return out
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        place = np.repeat(first, sizes)[hit] + (hit - np.repeat(starts, sizes)[hit]) // stride
+        n = n[hit]
+        at = np.repeat(self.first_essential[ids[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        key = np.repeat(place, n) * len(self.ids) + self.essential_items[at]
+        both, where = np.unique(np.concatenate([key, key - len(self.ids)]), return_inverse=True)
+        bound = np.bincount(where, np.tile(self.essential_weights[at], 2))
+        passages = np.unique(both[bound >= self.p.least_score / 2 - 1e-9] // len(self.ids))
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for passage in passages.tolist():
+            d = int(np.searchsorted(first, passage, "right")) - 1
+            if d < 0:
+                continue
+            lo = (passage - int(first[d])) * stride
+            hi = lo + 2 * stride
+            terms = np.unique(ids[starts[d] + lo : min(starts[d] + hi, starts[d] + sizes[d])])
             for item, score in self.retrieve(terms[terms < unknown].tolist()):
-                q, a, both = self.overlaps(item, words[max(0, lo - stride) : hi + stride])
-                if both >= self.p.least_overlap and (item not in best or score > best[item][0]):
-                    best[item] = (score, q, a)
-        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+                q, a, whole = self.overlaps(item, words[d][max(0, lo - stride) : hi + stride])
+                if whole >= self.p.least_overlap and ((d, item) not in best or score > best[d, item][0]):
+                    best[d, item] = (score, q, a)
+        for (d, item), v in sorted(best.items()):
+            out[d].append((self.ids[item], *v))
+        return out
 
 
 def indexes(benchmark: DataFrame, p: Params = Params()) -> Iterator[Index]:
@@ -204,8 +229,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
         def run(batches, shared=shared):
             out = Batcher(schema)
             for b in text_batches(batches):
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for hit in shared.value.search(text):
+                for doc_id, hits in zip(b.column(0).to_pylist(), shared.value.search_all(b.column(1).to_pylist())):
+                    for hit in hits:
                         if out.add((doc_id, *hit)):
                             yield out.flush()
             yield out.flush()
@@ -223,7 +248,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
 
         def run(batches, shared=shared):
             for b in text_batches(batches):
-                yield b.filter(pa.array([not shared.value.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not hits for hits in shared.value.search_all(b.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
