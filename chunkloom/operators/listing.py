@@ -116,3 +116,31 @@ def keys(m: Manifest, path: str) -> list[str]:
         return [".zattrs", ".zgroup"]
     own = all_chunks(m).filter((F.col("array_path") == path) & (F.col("state") != MISSING))
     return [".zarray", ".zattrs"] + [r[0] for r in chunk_keys(m.arrays, own).orderBy("chunk_lin").select("chunk_key").collect()]
+
+
+def exists(m: Manifest, path: str) -> bool:
+    return is_array(m, path) or is_group(m, path)
+
+
+def is_array(m: Manifest, path: str) -> bool:
+    return not m.arrays.filter(F.col("array_path") == path).isEmpty()
+
+
+def is_group(m: Manifest, path: str) -> bool:
+    """The root, or a path that an array lies below."""
+    return not path or not m.arrays.filter(F.col("array_path").startswith(path + "/")).isEmpty()
+
+
+def dimensions(m: Manifest, path: str) -> dict[str, int]:
+    row = m.array(path)
+    return dict(zip(row["dims"], row["shape"]))
+
+
+def attribute(m: Manifest, path: str, name: str):
+    """One attribute of an array, None if it has none of the name."""
+    return json.loads(m.array(path)["attrs"] or "{}").get(name)
+
+
+def is_initialized(m: Manifest, path: str, chunk_lin: int) -> bool:
+    """Whether a chunk has bytes."""
+    return not all_chunks(m).filter((F.col("array_path") == path) & (F.col("chunk_lin") == chunk_lin) & (F.col("state") != MISSING)).isEmpty()

@@ -6,6 +6,7 @@ import os
 import time
 import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Callable
 
 from ..operators.ranges import coalesce_plan
@@ -131,3 +132,23 @@ def fetch_ranges(uri: str, ranges: list[tuple[int, int]]) -> list[bytes]:
             out[i] = block[o - start : o - start + n]
             k += 1
     return out
+
+
+def fetch_all(uri: str) -> bytes:
+    size = object_size(uri)
+    if size is None:
+        raise FileNotFoundError(uri)
+    return fetch_range(uri, 0, size)
+
+
+def download(uri: str, directory: str, block: int = 64 << 20) -> str:
+    """A file copied to a directory in blocks, under a temporary name until it is whole."""
+    size = object_size(uri)
+    if size is None:
+        raise FileNotFoundError(uri)
+    to = os.path.join(directory, f"{zlib.crc32(uri.encode()):08x}-{uri.rstrip('/').rsplit('/', 1)[-1]}")
+    with open(to + ".part", "wb") as f:
+        for at in range(0, size, block):
+            f.write(fetch_range(uri, at, min(block, size - at)))
+    os.replace(to + ".part", to)
+    return to

@@ -141,9 +141,12 @@ def stem(uri: str) -> str:
 def rows_of(uri: str, order: int, parser: Parser, options: dict) -> Iterator[dict]:
     reader = Reader(uri)
     yield {"ord": order, "kind": "file", "uri": uri, "size": reader.size}
-    arrays = parser(reader, options)
-    for a in arrays:
-        path = a.path or stem(uri)
+    named: set[str] = set()
+    for a in parser(reader, options):
+        path = a.path or stem(uri)  # a root array is known by its file's name
+        if path in named or (named and not a.path):
+            raise FormatError(f"{uri}: an array at the root beside others")
+        named.add(path)
         codec = json.dumps(a.compressor) if a.compressor else None
         base, strides, size = a.affine or (None, None, None)
         yield {

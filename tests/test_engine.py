@@ -371,3 +371,50 @@ def test_missing_and_edges(spark):
     assert g[6, 12] == 90 and np.isnan(g[4, 7]) and np.isnan(g[0, 0]) and g[2, 4] == 30
     assert api.read_window(m, "a", [(3, 3), None]).count() == 0
     assert m.chunks.filter(F.col("state") == "inline").count() == 8
+
+
+def test_lookups_and_download(spark, tmp_path):
+    from chunkloom.operators import listing
+
+    data, _, _ = hdf5()
+    (tmp_path / "a.h5").write_bytes(data)
+    m = api.scan(spark, str(tmp_path / "a.h5")).persist()
+    assert listing.exists(m, "g") and listing.is_group(m, "g") and listing.is_array(m, "g/v") and not listing.exists(m, "h")
+    assert listing.dimensions(m, "g/v") == {"dim_0": 7, "dim_1": 11} and listing.attribute(m, "g/v", "units") == "m"
+    assert listing.lookup(m, "g/v/.zarray")["chunks"] == [3, 4] and listing.lookup(m, "g/.zgroup") == {"zarr_format": 2} and listing.lookup(m, "x/.zgroup") is None
+    assert listing.lookup(m, "g/v/0.1")["chunk_lin"] == 1 and listing.lookup(m, "g/v/1.1") is None and listing.lookup(m, "g/v/9.9") is None
+    assert listing.keys(m, "line") == [".zarray", ".zattrs", "0"] and not listing.is_initialized(m, "g/v", 4)
+    to = fetch.download("file://" + str(tmp_path / "a.h5"), str(tmp_path))
+    assert open(to, "rb").read() == data == fetch.fetch_all(str(tmp_path / "a.h5"))
+
+
+def test_http_ranges(tmp_path):
+    import http.server
+    import threading
+
+    body = bytes(range(256)) * 40
+    fails = [2]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if fails[0]:
+                fails[0] -= 1
+                self.send_error(503)
+                return
+            lo, hi = map(int, self.headers["Range"][6:].split("-"))
+            part = body[lo : hi + 1]
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {lo}-{lo + len(part) - 1}/{len(body)}")
+            self.send_header("Content-Length", str(len(part)))
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    uri = f"http://127.0.0.1:{server.server_port}/f"
+    assert fetch.fetch_range(uri, 100, 50) == body[100:150] and fetch.object_size(uri) == len(body)
+    assert fetch.fetch_ranges(uri, [(9000, 10), (0, 5)]) == [body[9000:9010], body[:5]]
+    server.shutdown()
