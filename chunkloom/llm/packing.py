@@ -15,6 +15,7 @@ of powers of two tokens, which need no padding.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +30,8 @@ from .common import Batcher, materialize, text_batches
 
 REST = "\0rest"  # the queue of all sources beyond max_queues
 #: The words that the tokenizer's model may be asked for directly: Latin letters in
-#: composed form, with or without a full stop or comma behind them.
-PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
+#: composed form, with or without ASCII punctuation behind them (one run, one token group).
+PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class Known(dict):
+    """A cache that makes what it does not hold."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        got = self[key] = self.make(key)
+        return got
+
+
 class Tokens:
     """Token ids of texts, the same as the tokenizer gives for the whole text.
 
@@ -80,21 +93,17 @@ class Tokens:
         self.plain = re.compile(PLAIN).fullmatch
         self.odd = re.compile("[\x1c-\x1f]").search  # split() parts here, the tokenizer does not
         self.letters = str.maketrans(_byte_letters())
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known, self.stems = Known(self._part), Known(self._stem)
 
     def _stem(self, word: str) -> bytes:
-        got = self.stems.get(word)
-        if got is None:
-            q = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = self.stems[word] = np.array([t.id for t in self.model.tokenize(q)], "<u4").tobytes()
-        return got
+        q = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(q)]).tobytes()
 
     def _part(self, part: str) -> bytes:
         m = self.plain(part)
         if m is None:
             return np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return self._stem(m[1].lower()) + (self._stem(m[2]) if m[2] else b"")
+        return self.stems[m[1].lower()] + self.stems[m[2]] if m[2] else self.stems[m[1].lower()]
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -102,22 +111,10 @@ class Tokens:
             return b""
         if self.odd(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split()
-        known = self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit:
+            self.known.clear()
             self.stems.clear()
-        out = []
-        for x in parts:
-            got = known.get(x)
-            if got is None:
-                got = known[x] = self._part(x)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def tokenize(docs: DataFrame, p: Params = Params()) -> DataFrame:
