@@ -2,16 +2,20 @@
 
 Spark's FP-growth mines combinations of URL tokens together with a row's label. Rules
 that end in the block label and pass the support, confidence and lift thresholds are
-kept. They match by inverted index: each rule is filed under its rarest token, a URL
-looks up its tokens, and a rule found that way fires if the URL has all of its tokens.
-The index is a literal of the plan, so judging a URL is one projection.
+kept, all but those that say nothing new: wherever such a rule fires, a kept rule with
+fewer tokens and no less confidence fires too. They match by inverted index: each rule is
+filed under its rarest token, a URL looks up its tokens, and a rule found that way fires
+if the URL has all of its tokens. The index is a literal of the plan, so judging a URL is
+one projection; an index that outgrows a literal is joined.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 # The rule list (host and path, verdict).
 LIST = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 BLOCK = "label=block"
+#: An index of so many characters of JSON is a literal of the plan; a larger one is a table.
+LITERAL = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -27,7 +33,6 @@ class Params:
     least_urls: int = 8  # and so many of them at least
     confidence: float = 0.6
     lift: float = 1.5
-    max_rules: int = 1000  # the model's size: the most confident, then best supported ones
     partitions: int = 12
 
 
@@ -64,6 +69,21 @@ class Model:
     index: dict[str, list[dict]]  # token -> rules filed under it
 
 
+def minimal(rules: Iterable[tuple[list[str], float]], freq: dict[str, int]) -> dict[str, list[dict]]:
+    """The index of the rules (tokens, confidence), which come by their number of tokens,
+    without those that contain a kept rule of no less confidence."""
+    index: dict[str, list[dict]] = {}
+    sets: dict[str, list[tuple[frozenset, float]]] = {}
+    for tokens, sure in rules:
+        own = frozenset(tokens)
+        if any(c >= sure and kept <= own for t in tokens for kept, c in sets.get(t, ())):
+            continue
+        rarest = min(tokens, key=lambda t: (freq.get(t, 0), t))
+        index.setdefault(rarest, []).append({"tokens": list(tokens), "confidence": sure})
+        sets.setdefault(rarest, []).append((own, sure))
+    return index
+
+
 def mine(urls: DataFrame, p: Params = Params()) -> Model:
     """Rules from labelled URLs (columns url, block boolean), mined from all of them.
 
@@ -80,18 +100,11 @@ def mine(urls: DataFrame, p: Params = Params()) -> Model:
     fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, max(p.support, p.least_urls / n)), minConfidence=p.confidence, numPartitions=p.partitions).fit(baskets)
     rules = (
         fitted.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= p.lift))
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-        .orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(p.max_rules).collect()
+        .select(F.array_sort("antecedent").alias("tokens"), "confidence").orderBy(F.size("tokens"), "tokens")
     )
-    used = sorted({t for r in rules for t in r["tokens"]})
-    if not used:
-        return Model({})
-    freq = {r["t"]: r["n"] for r in fitted.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), F.col("freq").alias("n")).filter(F.col("t").isin(*used)).collect()}
-    index: dict[str, list[dict]] = {}
-    for r in rules:
-        rarest = min(r["tokens"], key=lambda t: (freq.get(t, 0), t))
-        index.setdefault(rarest, []).append({"tokens": list(r["tokens"]), "confidence": r["confidence"]})
-    return Model(index)
+    # Both come in full: frequent tokens are few (1 / support by a URL's tokens at most), rules pass one by one.
+    freq = {r["t"]: r["n"] for r in fitted.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), F.col("freq").alias("n")).collect()}
+    return Model(minimal(((r["tokens"], r["confidence"]) for r in rules.toLocalIterator(prefetchPartitions=True)), freq))
 
 
 def confidence(tokens: Column, model: Model) -> Column:
@@ -104,7 +117,19 @@ def confidence(tokens: Column, model: Model) -> Column:
     return F.aggregate(fired, F.lit(0.0), lambda best, r: F.greatest(best, r["confidence"]))
 
 
-def judge(pages: DataFrame, model: Model, rules=LIST) -> DataFrame:
+def with_confidence(rows: DataFrame, model: Model, literal: int = LITERAL) -> DataFrame:
+    """rows (with a column tokens) and their confidence."""
+    if len(json.dumps(model.index)) <= literal:
+        return rows.withColumn("confidence", confidence(F.col("tokens"), model))
+    filed = [(t, x["tokens"], x["confidence"]) for t, own in model.index.items() for x in own]
+    kind = pa.schema([("token", pa.string()), ("needs", pa.list_(pa.string())), ("sure", pa.float64())])
+    rules = rows.sparkSession.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(zip(*filed), kind)], schema=kind))
+    tried = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(rules, "token")
+    fired = tried.filter(F.forall("needs", lambda t: F.array_contains("tokens", t))).groupBy("tokens").agg(F.max("sure").alias("sure"))
+    return rows.join(fired, "tokens", "left").withColumn("confidence", F.coalesce("sure", F.lit(0.0)))
+
+
+def judge(pages: DataFrame, model: Model, rules=LIST, literal: int = LITERAL) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence for every row.
 
     The list's longest fitting rule decides; without one, the mined rules do: block if one
@@ -114,6 +139,7 @@ def judge(pages: DataFrame, model: Model, rules=LIST) -> DataFrame:
     host, path, query = url_parts(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), query.alias("query"))
     rule, says = listed(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), confidence(url_tokens(F.col("host"), F.col("path"), F.col("query")), model).alias("confidence"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), url_tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"))
+    rows = with_confidence(rows, model, literal)
     verdict = F.coalesce("says", F.when(F.col("confidence") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "confidence")

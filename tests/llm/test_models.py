@@ -236,3 +236,20 @@ def test_url_mining(spark):
     probe = spark.createDataFrame([(1, "http://other.net/pills/buy?id=3"), (2, "http://other.net/pills/info"), (3, None)], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in urlrules.judge(probe, model).collect()} == {1: "block", 2: "allow", 3: "allow"}
     assert urlrules.mine(spark.createDataFrame([], "url string, block boolean")).index == {}
+
+
+def test_url_mining_keeps_every_rule(spark):
+    long = "a.b.c.d.e.evil.net/p/q/r/s"  # ten tokens: 1023 rules of confidence 1
+    rows = [(f"http://{long}/{i}", True) for i in range(40)] + [(f"http://weak.biz/{chr(97 + i)}", i < 16) for i in range(20)] + [(f"http://fine{i}.de/", False) for i in range(80)]
+    model = urlrules.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert sum(map(len, model.index.values())) < 20  # only the shortest rules stay
+    probe = spark.createDataFrame([(1, "http://weak.biz/zz"), (2, f"http://{long}/7"), (2, f"http://{long}/7"), (3, "http://fine1.de/"), (4, None)], "page_id long, url string")
+    got = sorted((r["page_id"], r["verdict"], r["confidence"]) for r in urlrules.judge(probe, model).collect())
+    assert got == [(1, "block", 0.8), (2, "block", 1.0), (2, "block", 1.0), (3, "allow", 0.0), (4, "allow", 0.0)]
+    assert got == sorted((r["page_id"], r["verdict"], r["confidence"]) for r in urlrules.judge(probe, model, literal=0).collect())
+
+
+def test_url_rules_minimal():
+    rules = [(["a"], 0.7), (["a", "b"], 0.9), (["a", "c"], 0.7), (["a", "b", "d"], 0.8), (["c", "d"], 0.6)]
+    kept = urlrules.minimal(rules, {"a": 3, "b": 2, "c": 2, "d": 1})
+    assert sorted((x["tokens"], x["confidence"]) for own in kept.values() for x in own) == [(["a"], 0.7), (["a", "b"], 0.9), (["c", "d"], 0.6)]
