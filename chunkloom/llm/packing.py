@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import Batcher, materialize, text_batches
 
-REST = "\0rest"  # the queue of all sources beyond max_queues
 #: The words that the tokenizer's model may be asked for directly: Latin letters in
 #: composed form, with or without ASCII punctuation behind them (one run, one token group).
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
@@ -40,7 +39,6 @@ class Params:
     end_id: int = 1
     length: int = 2048
     targets: tuple[tuple[str, float], ...] = ()  # (source, share); () for the corpus' own shares
-    max_queues: int = 64
     max_openings: int = 1 << 20  # partitions x queues whose opening deficits are sent to the tasks
     buffer_tokens: int = 1 << 20  # tokens that a task holds before it packs windows
     known_words: int = 700_000
@@ -147,22 +145,20 @@ class Plan:
 
 def make_plan(tokens: DataFrame, p: Params = Params()) -> Plan:
     """Target shares, and each partition's opening deficits from the token sums before it."""
-    top = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "source").limit(p.max_queues - 1).collect()
-    queues = [r["source"] for r in top] + [REST]
+    queues = sorted(r["source"] for r in tokens.select("source").distinct().collect())
     parts = (tokens.agg(F.max("part")).first()[0] or 0) + 1
     group = max(1, -(-parts * len(queues) // p.max_openings))
-    name = F.when(F.col("source").isin(*queues[:-1]), F.col("source")).otherwise(F.lit(REST)) if len(queues) > 1 else F.lit(REST)
-    sums = tokens.groupBy((F.col("part") / group).cast("int").alias("g"), name.alias("q")).agg(F.sum("n_tokens").alias("n")).collect()  # at most max_openings rows
+    sums = tokens.groupBy((F.col("part") / group).cast("int").alias("g"), "source").agg(F.sum("n_tokens").alias("n")).collect()  # at most max_openings rows
     at = {q: i for i, q in enumerate(queues)}
     n = np.zeros((-(-parts // group), len(queues)))
     for r in sums:
-        n[r["g"], at[r["q"]]] += r["n"]
+        n[r["g"], at[r["source"]]] += r["n"]
     if p.targets:
         want = dict(p.targets)
         shares = np.array([want.get(q, 0.0) for q in queues])
     else:
         shares = n.sum(0)
-    shares = shares / shares.sum() if shares.sum() else np.full(len(queues), 1 / len(queues))
+    shares = shares / shares.sum() if shares.sum() else np.full(len(queues), 1 / max(1, len(queues)))
     before = np.cumsum(n, 0) - n
     return Plan(queues, shares, group, before.sum(1, keepdims=True) * shares - before)
 
@@ -196,18 +192,24 @@ class Packer:
         self.deficits[q] -= n - left
         return n - left
 
+    def _waiting(self) -> np.ndarray:
+        """Queues that hold tokens, largest deficit first."""
+        some = np.flatnonzero(self.held)
+        return some[np.argsort(-self.deficits[some], kind="stable")]
+
     def fill(self, size: int) -> list[tuple]:
         """One sequence of `size` tokens; that many must be held."""
         self.deficits += self.shares * size
         out: list[tuple] = []
         done = 0
-        order = np.argsort(-self.deficits, kind="stable")
-        for q in order:
-            if self.held[q] and self.deficits[q] >= 1 and done < size:
-                done += self._take(q, min(size - done, int(self.deficits[q])), done, out)
-        for q in np.argsort(-self.deficits, kind="stable"):
-            if self.held[q] and done < size:
-                done += self._take(q, size - done, done, out)
+        for q in self._waiting():
+            if self.deficits[q] < 1 or done == size:
+                break
+            done += self._take(q, min(size - done, int(self.deficits[q])), done, out)
+        for q in self._waiting():
+            if done == size:
+                break
+            done += self._take(q, size - done, done, out)
         self.next_id += 1
         return out
 
@@ -236,7 +238,6 @@ def pack(tokens: DataFrame, plan: Plan, p: Params = Params()) -> DataFrame:
     def run(batches):
         plan, out, packer = shared.value, Batcher(schema), None
         at = {q: i for i, q in enumerate(plan.queues)}
-        other = len(plan.queues) - 1
 
         def rows(sequences):
             for pieces in sequences:
@@ -249,7 +250,7 @@ def pack(tokens: DataFrame, plan: Plan, p: Params = Params()) -> DataFrame:
             for doc_id, source, part, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if packer is None:
                     packer = Packer(plan.shares, plan.openings[min(part // plan.group, len(plan.openings) - 1)], TaskContext.get().partitionId() << 40, p)
-                packer.add(at.get(source, other), (doc_id, ids, source))
+                packer.add(at[source], (doc_id, ids, source))
                 yield from rows(packer.full())
         if packer is not None:
             yield from rows(packer.rest())

@@ -157,6 +157,16 @@ def test_packing_edges(spark):
     assert sum(x[2] for x in first if x[0][0] % 2 == 0) == 1536  # three quarters of the window
 
 
+def test_packing_queue_of_every_source(spark):
+    rows = [(i, "wort " * (400 - i), f"s{i:03}") for i in range(100)]  # the last source is the smallest
+    p = packing.Params(length=64, targets=(("s000", 0.5), ("s099", 0.5)))
+    first = {}
+    for x in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), p).collect():
+        if x["sequence_id"] & ((1 << 40) - 1) == 0:
+            first[x["source"]] = first.get(x["source"], 0) + x["length"]
+    assert first == {"s000": 32, "s099": 32}
+
+
 def test_decontamination_finds_planted(spark):
     docs, bench = tables(spark, MID, "documents", "benchmark")
     hits = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
