@@ -1,29 +1,35 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Documents are tokenised once and written to the shared folder. Each source is a
-queue with a target share of the tokens. A packing task keeps a deficit per queue;
-when it fills a window it adds each queue's share of the window to its deficit and
-serves queues, largest deficit first, up to their deficit, then whatever queue has
-tokens, so every window is full and an overserved queue waits in later ones. The
-deficits of a partition's first window are those that all partitions before it
-leave behind: their token sums per queue, known from the written table, say so
-exactly, because a partition packs all of its documents.
-
-A window holds `length` tokens. What is left at a partition's end becomes sequences
+Documents are tokenised once and written to the shared folder. Then they are dealt into
+slots of about `slot_tokens` tokens: a source's documents, in the order they were written,
+are cut into as many runs of equal token sums as there are slots, so every slot holds
+every source in its proportion, however the input was stored. Each source starts its round
+at a slot of its own, or the first would hold all small sources. Within a slot documents
+go by their place in their run, so all sources last to its end.
+
+Each source is a queue with a target share of the tokens. A packing task keeps a deficit
+per queue; when it fills a window it adds each queue's share of the window to its deficit
+and serves queues, largest deficit first, up to their deficit, then whatever queue has
+tokens, so every window is full and an overserved queue waits in later ones. The deficits
+of a slot's first window are those that all slots before it leave behind: the slots' token
+sums per queue say so exactly, because a slot packs all of its documents. They travel with
+the documents, so a task reads those of its own slots only.
+
+A window holds `length` tokens. What is left at a slot's end becomes sequences
 of powers of two tokens, which need no padding.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batcher, materialize, text_batches
@@ -39,7 +45,8 @@ class Params:
     end_id: int = 1
     length: int = 2048
     targets: tuple[tuple[str, float], ...] = ()  # (source, share); () for the corpus' own shares
-    max_openings: int = 1 << 20  # partitions x queues whose opening deficits are sent to the tasks
+    slot_tokens: int = 1 << 22
+    max_openings: int = 1 << 20  # partitions x sources up to which the dealing table is broadcast
     buffer_tokens: int = 1 << 20  # tokens that a task holds before it packs windows
     known_words: int = 700_000
 
@@ -116,51 +123,65 @@ class Tokens:
 
 
 def tokenize(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, source ('' for null), part, n_tokens and ids (with the end id) of every row."""
+    """doc_id, source ('' for null), part, at, n_tokens and ids (with the end id) of every row.
+
+    `at` counts the tokens of the same source before the row in its part.
+    """
     path = tokenizer_path(p)
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     end = np.array([p.end_id], "<u4").tobytes()
 
     def run(batches):
         tokens, part = Tokens(path, p.known_words), TaskContext.get().partitionId()
-        out = Batcher(schema)
+        out, seen = Batcher(schema), Counter()
         for b in text_batches(batches):
             for doc_id, text, source in zip(*(b.column(i).to_pylist() for i in range(3))):
                 ids = tokens.ids(text) + end
-                if out.add((doc_id, source or "", part, len(ids) // 4, ids), len(ids)):
+                source, n = source or "", len(ids) // 4
+                if out.add((doc_id, source, part, seen[source], n, ids), len(ids)):
                     yield out.flush()
+                seen[source] += n
         yield out.flush()
 
     cols = (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return docs.select(*cols).mapInArrow(run, "doc_id long, source string, part int, n_tokens long, ids binary")
-
-
-@dataclass(frozen=True)
-class Plan:
-    queues: list[str]
-    shares: np.ndarray
-    group: int  # parts // group share an opening
-    openings: np.ndarray  # group of parts x queues: deficits in tokens
-
-
-def make_plan(tokens: DataFrame, p: Params = Params()) -> Plan:
-    """Target shares, and each partition's opening deficits from the token sums before it."""
-    queues = sorted(r["source"] for r in tokens.select("source").distinct().collect())
-    parts = (tokens.agg(F.max("part")).first()[0] or 0) + 1
-    group = max(1, -(-parts * len(queues) // p.max_openings))
-    sums = tokens.groupBy((F.col("part") / group).cast("int").alias("g"), "source").agg(F.sum("n_tokens").alias("n")).collect()  # at most max_openings rows
-    at = {q: i for i, q in enumerate(queues)}
-    n = np.zeros((-(-parts // group), len(queues)))
-    for r in sums:
-        n[r["g"], at[r["source"]]] += r["n"]
-    if p.targets:
-        want = dict(p.targets)
-        shares = np.array([want.get(q, 0.0) for q in queues])
+    return docs.select(*cols).mapInArrow(run, "doc_id long, source string, part int, at long, n_tokens long, ids binary")
+
+
+def deal(tokens: DataFrame, p: Params = Params()) -> tuple[DataFrame, int]:
+    """The tokens with their slot and place in it (0 to 1), and the number of slots."""
+    sums = materialize(tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "sums")
+    total, rows = sums.agg(F.sum("n"), F.count("*")).first()
+    slots = max(1, -(-(total or 0) // p.slot_tokens))
+    own = Window.partitionBy("source")
+    before = F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("source", "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(own).alias("all"))
+    turn = F.pmod(F.xxhash64("source"), F.lit(1 << 30)) / float(1 << 30)
+    spot = F.pmod((F.col("before") + F.col("at")) / F.col("all") + turn, F.lit(1.0)) * slots
+    slot = F.least(F.floor(spot), F.lit(slots - 1)).cast("int")
+    dealt = tokens.join(F.broadcast(starts) if rows <= p.max_openings else starts, ["source", "part"])
+    return dealt.select(slot.alias("slot"), (spot - slot).alias("place"), *tokens.columns), slots
+
+
+def openings(dealt: DataFrame, slots: int, p: Params = Params()) -> tuple[DataFrame, np.ndarray]:
+    """slot, source, its target share and its tokens in earlier slots; all tokens in earlier slots."""
+    sums = materialize(dealt.groupBy("slot", "source").agg(F.sum("n_tokens").alias("n")), "slots")
+    n = np.zeros(slots, np.int64)
+    for r in sums.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a number a slot
+        n[r["slot"]] = r["n"]
+    own = Window.partitionBy("source")
+    if not p.targets:
+        share = F.sum("n").over(own) / float(max(1, n.sum()))
     else:
-        shares = n.sum(0)
-    shares = shares / shares.sum() if shares.sum() else np.full(len(queues), 1 / max(1, len(queues)))
-    before = np.cumsum(n, 0) - n
-    return Plan(queues, shares, group, before.sum(1, keepdims=True) * shares - before)
+        want = dict(p.targets)
+        here = [r["source"] for r in sums.select("source").distinct().filter(F.col("source").isin(*want)).collect()]
+        if (every := sum(want[q] for q in here)) > 0:
+            share = F.lit(0.0)
+            for q in here:
+                share = F.when(F.col("source") == q, F.lit(want[q] / every)).otherwise(share)
+        else:
+            share = F.lit(1 / max(1, sums.select("source").distinct().count()))
+    before = F.sum("n").over(own.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select("slot", "source", share.alias("share"), F.coalesce(before, F.lit(0)).alias("before")), np.cumsum(n) - n
 
 
 class Packer:
@@ -223,21 +244,25 @@ class Packer:
             yield self.fill(self.p.length if n >= self.p.length else 1 << (n.bit_length() - 1))
 
 
-def pack(tokens: DataFrame, plan: Plan, p: Params = Params()) -> DataFrame:
+def pack(tokens: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids, doc_tokens, sequence_id, offset.
 
-    Sequence ids are the task's number times 2^40 and a count, so a task that runs again
-    gives the same ones. A task packs its rows in the order they were written.
+    Sequence ids are the slot's number times 2^40 and a count. A slot's rows are sorted, so
+    a task that runs again gives the same ones.
     """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
     ])
-    shared = tokens.sparkSession.sparkContext.broadcast(plan)  # at most max_openings numbers
+    dealt, slots = deal(tokens, p)
+    opening, before = openings(dealt, slots, p)
+    first = opening.select("slot", F.lit(-1.0).alias("place"), "source", "share", "before")
+    every = first.unionByName(dealt.drop("n_tokens"), allowMissingColumns=True)
+    every = every.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "place", "source", "part", "at")
+    shared = tokens.sparkSession.sparkContext.broadcast(before)  # a number a slot
 
     def run(batches):
-        plan, out, packer = shared.value, Batcher(schema), None
-        at = {q: i for i, q in enumerate(plan.queues)}
+        before, out, packer, now = shared.value, Batcher(schema), None, None
 
         def rows(sequences):
             for pieces in sequences:
@@ -247,9 +272,18 @@ def pack(tokens: DataFrame, plan: Plan, p: Params = Params()) -> DataFrame:
                         yield out.flush()
 
         for b in text_batches(batches):
-            for doc_id, source, part, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for slot, doc_id, source, ids, share, own in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if slot != now:
+                    if packer is not None:
+                        yield from rows(packer.rest())
+                    packer, now, at, shares, deficits = None, slot, {}, [], []
+                if share is not None:  # a slot's openings come before its documents
+                    at[source] = len(at)
+                    shares.append(share)
+                    deficits.append(before[slot] * share - own)
+                    continue
                 if packer is None:
-                    packer = Packer(plan.shares, plan.openings[min(part // plan.group, len(plan.openings) - 1)], TaskContext.get().partitionId() << 40, p)
+                    packer = Packer(np.array(shares), np.array(deficits), slot << 40, p)
                 packer.add(at[source], (doc_id, ids, source))
                 yield from rows(packer.full())
         if packer is not None:
@@ -257,7 +291,7 @@ def pack(tokens: DataFrame, plan: Plan, p: Params = Params()) -> DataFrame:
         yield out.flush()
 
     ddl = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return tokens.select("doc_id", "source", "part", "ids").mapInArrow(run, ddl)
+    return every.select("slot", "doc_id", "source", "ids", "share", "before").mapInArrow(run, ddl)
 
 
 def pack_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -268,7 +302,7 @@ def pack_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
     problem: it is carried along. An empty table gives no pieces. Other columns are ignored.
     """
     tokens = materialize(tokenize(docs, p), "tokens")
-    return pack(tokens, make_plan(tokens, p), p)
+    return pack(tokens, p)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:

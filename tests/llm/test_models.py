@@ -167,6 +167,27 @@ def test_packing_queue_of_every_source(spark):
     assert first == {"s000": 32, "s099": 32}
 
 
+def test_packing_mixes_what_is_stored_by_source(spark):
+    rows = [(i, "wort " * (30 + i % 7), "ab"[i >= 300] if i < 400 else f"s{i}") for i in range(410)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(8, "doc_id")
+    p = packing.Params(length=256, slot_tokens=4096)
+    pieces = packing.pack_documents(docs, p).collect()
+    assert len(pieces) == len(packing.pack_documents(docs, p).intersect(spark.createDataFrame(pieces)).collect())
+    total, windows, slots = {}, {}, {}
+    for x in pieces:
+        w = windows.setdefault(x["sequence_id"], {})
+        for d in (w, total, slots.setdefault(x["sequence_id"] >> 40, {})):
+            d[x["source"]] = d.get(x["source"], 0) + x["length"]
+    every = sum(total.values())
+    assert {r["doc_id"] for r in pieces} == set(range(410)) and len(slots) == -(-every // 4096)
+    for own in slots.values():  # each slot has its part of each source, less or more a document
+        assert all(abs(own.get(q, 0) - total[q] / len(slots)) <= 2 * 37 for q in "ab")
+    done, n = 0, 0
+    for _, w in sorted(windows.items()):  # the mixture holds from the first window to the last, across slots
+        done, n = done + w.get("a", 0), n + sum(w.values())
+        assert abs(done - n * total["a"] / every) < 128
+
+
 def test_decontamination_finds_planted(spark):
     docs, bench = tables(spark, MID, "documents", "benchmark")
     hits = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
