@@ -3,13 +3,15 @@
 A text region and a license template are aligned on the words that occur exactly once in
 each: the longest increasing subsequence of those pairs are anchors, and the gaps between
 anchors are aligned the same way, after equal words at a gap's ends are matched off. The
-share of the template's words that align is its coverage.
+share of the template's words that align is its coverage. A notice may be repeated close
+by, which leaves no word that occurs once: a region is also looked for between the
+neighbouring copies of one of its words, where that word is an anchor at least.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -95,12 +97,12 @@ class Scanner:
         for name, text in templates:
             words = WORD.findall(text.lower())
             n, spare = Counter(words), (1 - p.least_coverage) * len(words) + 1e-9
-            for w in sorted(n, key=lambda w: (w in COMMON, -len(w), w)):
+            for w in sorted(n, key=lambda w: (w in COMMON, n[w], -len(w), w)):
                 signs.setdefault(w, set()).add(len(self.templates))
                 spare -= n[w]
                 if spare < 0:  # a region with the coverage has one of these words
                     break
-            self.templates.append((name, words))
+            self.templates.append((name, words, n))
         self.signs = signs
         self.any_sign = re.compile("|".join(rf"\b{re.escape(w)}\b" for w in sorted(signs, key=lambda w: (-len(w), w))))
 
@@ -116,6 +118,17 @@ class Scanner:
         s, e = lo + pairs[0][0], lo + pairs[-1][0] + 1
         return (len(pairs) / max(len(template), e - s), len(pairs), -t, s, e, len(pairs) / len(template))
 
+    def _around(self, words: list[str], t: int, i: int, end: int, same: list[int]) -> list[tuple]:
+        """Regions near the sign word at i, which is also at `same`, past `end`: in all words
+        around it, and in those that hold it no more often than the template does."""
+        size, n = len(self.templates[t][1]), self.templates[t][2][words[i]]
+        lo, hi, k = max(0, end, i - size - size // 2), min(len(words), i + size + size // 2 + 1), bisect_left(same, i)
+        left, right = max(lo, same[k - n] + 1 if k >= n else 0), min(hi, same[k + n] if k + n < len(same) else hi)
+        hits = [self._best(words, t, lo, hi)]
+        if (left, right) != (lo, hi):
+            hits.append(self._best(words, t, left, right))
+        return [hit for hit in hits if hit]
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, word after the last), regions not overlapping.
 
@@ -128,21 +141,27 @@ class Scanner:
             return []
         words = WORD.findall(low)
         found = []
+        where: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.signs:
+                where.setdefault(w, []).append(i)
         for t in range(len(self.templates)):
-            size, end = len(self.templates[t][1]), -1
-            spots = [i for i, w in enumerate(words) if t in self.signs.get(w, ())]
-            for i in spots:
+            end = -1
+            for i in sorted(i for w, own in where.items() if t in self.signs[w] for i in own):
                 if i < end:
                     continue
-                hit = self._best(words, t, max(0, i - size - size // 2), min(len(words), i + size + size // 2 + 1))
-                if hit:
-                    found.append(hit)
-                    end = hit[4]
+                hits = self._around(words, t, i, end, where[words[i]])
+                found += hits
+                if own := [hit for hit in hits if hit[3] <= i < hit[4]]:
+                    end = max(own)[4]
         taken: list[tuple] = []
+        starts: list[int] = []
         for hit in sorted(found, reverse=True):
-            if all(hit[4] <= x[3] or x[4] <= hit[3] for x in taken):
-                taken.append(hit)
-        return [(self.templates[-t][0], cover, s, e) for _, _, t, s, e, cover in sorted(taken, key=lambda x: x[3])]
+            k = bisect_right(starts, hit[3])
+            if (k == 0 or taken[k - 1][4] <= hit[3]) and (k == len(starts) or hit[4] <= starts[k]):
+                taken.insert(k, hit)
+                starts.insert(k, hit[3])
+        return [(self.templates[-t][0], cover, s, e) for _, _, t, s, e, cover in taken]
 
 
 def scan(docs: DataFrame, p: Params = Params(), templates=TEMPLATES) -> DataFrame:

@@ -242,6 +242,26 @@ def test_license_alignment():
     assert s.scan(None) == s.scan("") == s.scan("the mit of a license plate") == []
 
 
+def test_license_notices_repeated():
+    s = licenses.Scanner()
+    got = s.scan("foo bar Licensed under CC BY 4.0. Licensed under CC BY 4.0. baz qux")
+    assert got == [("CC-BY-4.0", 1.0, 2, 8), ("CC-BY-4.0", 1.0, 8, 14)]
+    rng = random.Random(5)
+    for name, text in licenses.TEMPLATES:
+        words = licenses.WORD.findall(text)
+        for gap in ("", "and", "foo bar baz"):
+            one = f"{text} {gap} "
+            step = len(licenses.WORD.findall(one))
+            got = s.scan("head words " + one * 50 + "tail")
+            assert got == [(name, 1.0, 2 + step * k, 2 + step * k + len(words)) for k in range(50)], (name, gap)
+        copies = []
+        for _ in range(20):  # copies that each lack one of ten words
+            lost = set(rng.sample(range(1, len(words) - 1), len(words) // 10))
+            copies.append(" ".join("xx" if j in lost else w for j, w in enumerate(words)))
+        got = s.scan("foo bar " + " ".join(copies) + " baz")
+        assert [x[0] for x in got] == [name] * 20 and [x[2] for x in got] == [2 + len(words) * k for k in range(20)]
+
+
 def test_licenses_on_documents(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     got = {r["doc_id"] for r in licenses.scan(docs).collect()}
