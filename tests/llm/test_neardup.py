@@ -93,3 +93,13 @@ def test_pipeline_stages(spark):
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_pipeline_stage_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (5, a), (7, b), (7, b), (7, c), (None, c + " more"), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, a), (7, b), (7, c), (9, None), (9, None), (None, "")]))
