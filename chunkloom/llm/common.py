@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one (single-machine sessions only) where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    session on one machine gets a temporary folder; on a cluster it is an error."""
     try:
         where = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001 - a missing setting raises in some sessions
         where = None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -58,24 +60,29 @@ def is_training(doc_id) -> F.Column:
 
 
 def sampled_ids(labelled: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """At most `per_class` distinct keys of each label value, picked by a hash of the key.
+    """About `per_class` distinct keys of each label value, picked by a hash of the key.
 
     The threshold comes from the class counts, so the pick is one filter over all
-    rows, the same in every run, and its size is bounded whatever the input's.
+    rows, the same in every run, and its size is about the bound whatever the input's.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().limit(1000).collect()}
-    frac = F.lit(0.0)
-    for value, n in counts.items():
-        frac = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(frac)
+    # Labelled rows are one a key; were they not, the sample would have no more keys for it.
+    counts = labelled.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label value
     spot = F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.filter(spot < frac).groupBy(key).agg(F.max(label).alias(label)).limit(2 * per_class * max(1, len(counts)))
+    return labelled.join(counts, label).filter(spot < per_class / F.col("_n")).groupBy(key).agg(F.max(label).alias(label))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of the incoming batches, so that per-batch state stays small."""
+def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller slices of the incoming batches, of so many rows and bytes at most (a longer text
+    is a slice of its own), so that per-batch state stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > nbytes:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def emit(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ largest sum over all its words.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WordIndex, emit, is_training, sampled_ids, text_batches
 
-WORD = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]+")  # letters, and the numerals that are not decimal digits
 UNDETERMINED = "und"
 
 
@@ -30,7 +31,6 @@ class Params:
     longest: int = 5
     min_word: int = 2  # a word is known from so many occurrences on
     smooth: float = 0.5
-    max_languages: int = 500
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,14 @@ class Model:
     prior: np.ndarray
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased runs of letters; signs such as ½ or ² are no letters."""
+    found = RUN.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def _table(counts: list[dict[str, int]], least: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
     """Row numbers and log frequencies of the keys with `least` occurrences in all languages together."""
     total: dict[str, int] = {}
@@ -63,7 +71,7 @@ def fit(texts: list[str | None], langs: list[str], p: Params = Params()) -> Mode
     at = {x: i for i, x in enumerate(names)}
     words: list[dict[str, int]] = [Counter() for _ in names]
     for t, lang in zip(texts, langs):
-        words[at[lang]].update(WORD.findall((t or "").lower()))
+        words[at[lang]].update(words_of(t))
     grams: list[list[dict[str, int]]] = [[{} for _ in names] for _ in range(p.longest)]
     for i, counter in enumerate(words):
         for w, n in counter.items():
@@ -122,7 +130,7 @@ class Scorer:
             self._reset()
         ids = []
         for t in texts:
-            found = WORD.findall(t.lower()) if t else []
+            found = words_of(t)
             ids.append(np.fromiter(map(self.index.__getitem__, found), np.int64, len(found)))
         if self.index.new:
             fresh = word_scores(self.model, self.index.new)
@@ -142,21 +150,29 @@ class Scorer:
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
     """Fit on a bounded, hash-picked sample of rows with a language whose
-    crc32(doc_id) mod 5 is not 0: about per_class texts of each language."""
+    crc32(doc_id) mod 5 is not 0: about per_class texts of each language. A repeated id
+    teaches once. The fit runs in one task; the driver gets the model, whose words and
+    n-grams are bounded by the sample."""
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text")).filter(
         F.col("_id").isNotNull() & F.col("_lang").isNotNull() & is_training(F.col("_id"))
     )
     ids = F.broadcast(sampled_ids(rows, "_id", "_lang", p.per_class).select("_id"))  # its size is bounded by per_class
-    got = rows.join(ids, "_id").limit(4 * p.per_class * p.max_languages).collect()
-    got.sort(key=lambda r: (r["_id"], r["_lang"], r["_text"] or ""))
-    return fit([r["_text"] for r in got], [r["_lang"] for r in got], p)
+    some = rows.join(ids, "_id").groupBy("_id").agg(F.min(F.struct("_lang", "_text")).alias("x")).select("_id", "x._lang", "x._text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(((i, lang, t or "") for b in batches for i, lang, t in zip(*(b.column(k).to_pylist() for k in range(3)))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, _, t in got], [lang for _, lang, _ in got], p))], pa.binary())], names=["model"])
+
+    made = some.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [], p)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the prediction's share, 0 to 1) of every row.
 
-    Null texts and texts without a letter are `und` with score 0. The share is of
-    the evidence of ten words, so that long texts do not all score 1.
+    Null texts and texts without a letter are `und` with score 0 (numerals such as ½ and
+    ² are no letters). Repeated rows are judged alike; other columns are ignored. The share
+    is of the evidence of ten words, so that long texts do not all score 1.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -242,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Fit on a bounded, hash-picked sample of labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     `docs` has doc_id and text; `labels` doc_id and toxic. Rows with a null id or
-    label teach nothing. The bounded sample, about 2 x per_class texts, is fitted in one task,
+    label teach nothing, a repeated id once. The bounded sample, about 2 x per_class texts, is fitted in one task,
     whose worker has more memory to itself than a driver; the driver gets the model.
     """
     lab = (
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & is_training(F.col("_id")))
     )
     ids = F.broadcast(sampled_ids(lab, "_id", "_y", p.per_class))  # its size is bounded by per_class
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(ids, "_id").limit(8 * p.per_class).select("_id", "_text", "_y")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(ids, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(((i, t or "", y) for b in batches for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: r[:2])
