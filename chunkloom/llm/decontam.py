@@ -7,7 +7,12 @@ in item order, a bound for each list and for each block of it, and a pivot below
 item can reach the threshold. Passages that cannot reach it are set aside first, many at
 once: an item's commonest terms together weigh half the threshold at most, so its other
 terms, whose lists are short, must bring the other half. Retrieved items are verified on
-five-word shingles of their question and answer.
+five-word shingles of their question and answer: a document holds an item if it has the
+question, or question and answer taken together. Both shares are reported.
+
+The counts that BM25 weighs by (items, their mean length, the items of each word) are taken
+over all items once, and so is the passages' length, so that an index in several parts gives
+what one index gives.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batcher, text_batches
+from .common import Batcher, materialize, text_batches
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.?!])\s+")
@@ -37,7 +42,8 @@ class Params:
     block: int = 16  # postings to a block
     shingle: int = 5
     least_overlap: float = 0.8
-    index_bytes: int = 8 << 20  # text of the items that are indexed at once; more make more passes
+    index_bytes: int = 8 << 20  # text of the items that are in one part of the index
+    parts_per_pass: int = 4  # parts that a task searches in one pass over the documents
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,21 +62,38 @@ def _shingles(words: list[str], k: int) -> set[tuple]:
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items that have a word."""
+
+    n: int
+    words: int  # in all of them together
+    longest: int
+    df: dict[str, int]  # items that hold a word
+
+    @staticmethod
+    def of(texts: list[str]) -> Statistics:
+        bags = [w for w in map(words_of, texts) if w]
+        return Statistics(len(bags), sum(map(len, bags)), max(map(len, bags), default=1), dict(Counter(w for b in bags for w in set(b))))
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], p: Params):
+    """Of the items, which are all of those that the statistics are about or a part of them."""
+
+    def __init__(self, items: list[tuple[int, str]], p: Params, about: Statistics | None = None):
         self.p = p
         items = sorted((i, t) for i, t in items if words_of(t))
         self.ids = [i for i, _ in items]
         bags = [Counter(words_of(t)) for _, t in items]
-        n = len(items)
+        about = about or Statistics.of([t for _, t in items])
         sizes = [sum(b.values()) for b in bags]
-        mean = sum(sizes) / n if n else 1.0
-        self.longest = max(sizes, default=1)
-        df = Counter(w for b in bags for w in b)
-        idf = {w: log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
-        essential: list[list[tuple[int, float]]] = [[] for _ in df]
+        n, df, mean = about.n, about.df, about.words / max(1, about.n)
+        self.longest = about.longest
+        own = sorted({w for b in bags for w in b})
+        idf = {w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in own}
+        self.terms = {w: i for i, w in enumerate(own)}
+        lists: list[list[tuple[int, float]]] = [[] for _ in own]
+        essential: list[list[tuple[int, float]]] = [[] for _ in own]
         for j, (bag, size) in enumerate(zip(bags, sizes)):
             raw = {w: idf[w] * c * (p.k1 + 1) / (c + p.k1 * (1 - p.b + p.b * size / mean)) for w, c in bag.items()}
             total = sum(raw.values())
@@ -196,26 +219,67 @@ class Index:
             terms = np.unique(ids[starts[d] + lo : min(starts[d] + hi, starts[d] + sizes[d])])
             for item, score in self.retrieve(terms[terms < unknown].tolist()):
                 q, a, whole = self.overlaps(item, words[d][max(0, lo - stride) : hi + stride])
-                if whole >= self.p.least_overlap and ((d, item) not in best or score > best[d, item][0]):
+                leaked = whole >= self.p.least_overlap or (self.parts[item][0] and q >= self.p.least_overlap)
+                if leaked and ((d, item) not in best or score > best[d, item][0]):
                     best[d, item] = (score, q, a)
         for (d, item), v in sorted(best.items()):
             out[d].append((self.ids[item], *v))
         return out
 
 
+def _words_by_part(items: DataFrame, parts: int) -> DataFrame:
+    """part, word and size of the distinct words of each item; its number of words with the first."""
+    schema = pa.schema([("part", pa.int32()), ("word", pa.string()), ("size", pa.int64())])
+
+    def run(batches):
+        out = Batcher(schema)
+        for b in text_batches(batches):
+            for part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                for k, w in enumerate(sorted(set(words))):
+                    if out.add((part, w, None if k else len(words))):
+                        yield out.flush()
+        yield out.flush()
+
+    return items.select("part", "text").mapInArrow(run, "part int, word string, size long")
+
+
 def indexes(benchmark: DataFrame, p: Params = Params()) -> Iterator[Index]:
-    """The items' index, in as many parts as their size asks for. Null items are left out."""
+    """The items' index, in as many parts as their size asks for, all by the statistics of all
+    items. Null items are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // p.index_bytes))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    if parts == 1:
+        rows = items.collect()
+        yield Index([(r["item_id"], r["text"]) for r in rows], p, Statistics.of([r["text"] for r in rows]))
+        return
+    words = materialize(_words_by_part(items, parts), "benchmark-words")
+    n, total, longest = words.agg(F.count("size"), F.sum("size"), F.max("size")).first()
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    by_part = materialize(words.select("part", "word").distinct().join(df, "word"), "benchmark-df")
     for k in range(parts):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield Index([(r["item_id"], r["text"]) for r in part], p)
+        part = items.filter(F.col("part") == k).collect()  # of index_bytes of text, about; its words' counts are no more
+        counts = {r["word"]: r["df"] for r in by_part.filter(F.col("part") == k).collect()}
+        yield Index([(r["item_id"], r["text"]) for r in part], p, Statistics(n, total or 0, longest or 1, counts))
+
+
+def _passes(benchmark: DataFrame, p: Params) -> Iterator[list]:
+    """Broadcast parts of the index, as many at a time as are searched in one pass."""
+    some = []
+    for index in indexes(benchmark, p):
+        some.append(benchmark.sparkSession.sparkContext.broadcast(index))  # of index_bytes of text
+        if len(some) == p.parts_per_pass:
+            yield some
+            some = []
+    if some:
+        yield some
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of each document and test
-    item that it contains (four fifths of its shingles at least).
+    item that it contains: four fifths of the shingles of its question, or of question and answer.
 
     Null and empty texts contain nothing; an empty benchmark finds nothing. A repeated row
     reports again; items with equal texts are all reported. Other columns are ignored.
@@ -223,16 +287,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for index in indexes(benchmark, p):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # of index_bytes of text at most
+    for some in _passes(benchmark, p):
 
-        def run(batches, shared=shared):
+        def run(batches, some=some):
             out = Batcher(schema)
             for b in text_batches(batches):
-                for doc_id, hits in zip(b.column(0).to_pylist(), shared.value.search_all(b.column(1).to_pylist())):
-                    for hit in hits:
-                        if out.add((doc_id, *hit)):
-                            yield out.flush()
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for shared in some:
+                    for doc_id, hits in zip(ids, shared.value.search_all(texts)):
+                        for hit in hits:
+                            if out.add((doc_id, *hit)):
+                                yield out.flush()
             yield out.flush()
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
@@ -243,12 +308,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of `docs`, all columns as they are, that contain no test item."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark, p):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in _passes(benchmark, p):
 
-        def run(batches, shared=shared):
+        def run(batches, some=some):
             for b in text_batches(batches):
-                yield b.filter(pa.array([not hits for hits in shared.value.search_all(b.column(at).to_pylist())], pa.bool_()))
+                for shared in some:
+                    clean = [not hits for hits in shared.value.search_all(b.column(at).to_pylist())]
+                    b = b if all(clean) else b.filter(pa.array(clean, pa.bool_()))
+                yield b
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
