@@ -1,16 +1,18 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set is that of its five-word shingles. Of each of `hashes` minima the low
-`bits` bits are kept and packed; runs of `rows` of them are band keys. The similarity of
-two signatures is estimated from the count of equal entries, corrected for those that
-are equal by chance, and pairs that may reach the threshold are confirmed on full sets.
+A document's set is that of its five-word shingles, each a 64-bit hash. Runs of `rows` of
+its `hashes` minima are hashed to band keys; of each minimum the low four bits are kept,
+sixteen of them packed to a 64-bit word. The similarity of two signatures is estimated from
+the bits that their exclusive or leaves, corrected for entries that are equal by chance, and
+pairs that may reach the threshold are confirmed on full sets.
 
 Copies never multiply. Equal sets are one class. In a band's bucket every class is first
 held against the bucket's smallest class only; confirmed links join classes into
 components. Buckets in which two components are left are then searched in blocks of
 bounded size: first for each class's nearest one in another component, then, after those
 links are joined, for every pair that is still apart. Blocks give out only pairs whose
-estimate passes, each in the first band that holds both.
+estimate passes, each in the first band that holds both. A hub or text with many partners
+is joined to them in portions (`beside`), so no task holds all pairs of one.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 from .common import Batcher, discard, materialize, text_batches
 
 U64 = np.uint64
-BITS = 8  # kept of each minimum; eight of them make a 64-bit band key
+BITS = 4  # kept of each minimum
 CHANCE = 2.0**-BITS
+LOWEST = U64(0x1111111111111111)  # the lowest bit of each entry of a word
 
 
 @dataclass(frozen=True)
 class Params:
     """A pair of similarity s is missed with probability (1 - s**rows) ** bands at most, 4e-5 at
-    0.85 exactly and 1e-8 at 0.9, or if its estimate is `deviations` too low (3e-5 at 0.85)."""
+    0.85 exactly and 1e-8 at 0.9, or if its estimate is `deviations` too low (3e-5 at 0.85).
+    bands * rows is a multiple of 16."""
 
     per_cent: int = 85  # linked if 100 * intersection >= per_cent * union
     shingle: int = 5
@@ -42,6 +46,7 @@ class Params:
     rows: int = 8
     deviations: float = 4.0  # how far below the threshold an estimate may be
     block: int = 1024  # classes of a bucket that are held against each other at once
+    portion: int = 4096  # pairs of one class that are joined to it at once
     seed: int = 11
 
     @property
@@ -73,8 +78,9 @@ class Sketcher:
     def __init__(self, p: Params):
         self.p, self.words = p, Words()
         rng = np.random.default_rng(p.seed)
-        self.salt = _mix(np.arange(1, p.bands + 1, dtype=U64)).view(np.int64)  # tells bands apart
+        self.salt = _mix(np.arange(1, p.bands + 1, dtype=U64))  # tells bands apart
         self.mul = (rng.integers(0, 2**31, p.hashes) * 2 + 1).astype(np.uint32)
+        self.in_band = (rng.integers(0, 2**63, p.rows, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the text's shingles. bytes.lower and bytes.split
@@ -91,28 +97,36 @@ class Sketcher:
             s = s * U64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
         return np.unique(_mix(s))
 
-    def signature(self, s: np.ndarray) -> bytes:
-        """The low bits of the minima of odd multiples, modulo 2^32, of the shingles' high halves."""
+    def signature(self, s: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """From the minima of odd multiples, modulo 2^32, of the shingles' high halves: their low
+        bits, packed, and the band keys."""
         x = (s >> U64(32)).astype(np.uint32)
         out = None
         for at in range(0, len(x), 1024):
             m = (x[None, at : at + 1024] * self.mul[:, None]).min(1)
             out = m if out is None else np.minimum(out, m)
-        return (out & np.uint32(255)).astype(np.uint8).tobytes()
+        low = (out & np.uint32(15)).astype(np.uint8)
+        keys = _mix((out.reshape(self.p.bands, -1).astype(U64) * self.in_band).sum(1, dtype=U64) + self.salt)
+        return (low[::2] | (low[1::2] << 4)).tobytes(), keys.view(np.int64)
 
 
 def set_id(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def estimate(equal: np.ndarray, p: Params) -> np.ndarray:
-    """Similarity from the number of equal entries of two signatures."""
-    return (equal / p.hashes - CHANCE) / (1 - CHANCE)
+def as_words(packed: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each signature."""
+    return np.frombuffer(b"".join(packed), U64).reshape(len(packed), -1)
 
 
-def band_keys(packed: np.ndarray) -> np.ndarray:
-    """Rows of signatures to rows of 64-bit band keys."""
-    return np.ascontiguousarray(packed).view(np.int64)
+def estimate(x: np.ndarray, y: np.ndarray, p: Params) -> np.ndarray:
+    """Similarities of rows of words: an entry differs if any of its bits does, and entries of
+    different shingles are equal by chance once in sixteen times."""
+    z = x ^ y
+    z |= z >> U64(1)
+    z |= z >> U64(2)
+    equal = p.hashes - np.bitwise_count(z & LOWEST).sum(-1, dtype=np.int64)
+    return (equal / p.hashes - CHANCE) / (1 - CHANCE)
 
 
 def sketch(docs: DataFrame, p: Params) -> DataFrame:
@@ -124,17 +138,30 @@ def sketch(docs: DataFrame, p: Params) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = sk.shingles(text)
                 if len(s):
-                    packed = sk.signature(s)
-                    row = (doc_id, len(s), set_id(s), packed, band_keys(np.frombuffer(packed, np.uint8)) + sk.salt)
+                    row = (doc_id, len(s), set_id(s), *sk.signature(s))
                 else:
                     row = (doc_id, 0, None, None, None)
-                if out.add(row, 700):
+                if out.add(row, 600):
                     yield out.flush()
         yield out.flush()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, packed binary, keys array<long>")
 
 
+def beside(pairs: DataFrame, side: DataFrame, key: str, other: str, p: Params, counted: DataFrame | None = None) -> DataFrame:
+    """pairs joined with `side` (a row a key) on `key`. The pairs of a key that has more than
+    p.portion of them (counted in `counted`, if that is cheaper to read) are dealt out by `other`,
+    and the key's row goes with each portion."""
+    crowded = (pairs if counted is None else counted).groupBy(key).agg(F.count("*").alias("_m")).filter(F.col("_m") > p.portion)
+    crowded = materialize(crowded.select(key, F.ceil(F.col("_m") / p.portion).cast("int").alias("_portions")), "crowded")
+    if crowded.isEmpty():
+        return pairs.join(side, key)
+    portions = F.coalesce("_portions", F.lit(1))
+    dealt = pairs.join(crowded, key, "left").withColumn("_portion", F.pmod(F.xxhash64(other), portions).cast("int")).drop("_portions")
+    again = side.join(crowded, key, "left").withColumn("_portion", F.explode(F.sequence(F.lit(0), portions - 1))).drop("_portions")
+    return dealt.join(again, [key, "_portion"]).drop("_portion")
+
+
 def _near_hub(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) whose sizes allow the threshold and whose estimate may reach it."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("est", pa.float64())])
@@ -144,27 +171,25 @@ def _near_hub(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            est = estimate((x == y).sum(1), p)
+            est = estimate(as_words(batch.column(2).to_pylist()), as_words(batch.column(3).to_pylist()), p)
             ok = pa.array(est >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(est[est >= least])], schema=schema)
 
     c = classes.select("sig", "packed", "n")
+    hubs = beside(pairs, c.select(F.col("sig").alias("a"), F.col("packed").alias("pa"), F.col("n").alias("na")), "a", "b", p)
     both = (
-        pairs.join(c.select(F.col("sig").alias("a"), F.col("packed").alias("pa"), F.col("n").alias("na")), "a")
-        .join(c.select(F.col("sig").alias("b"), F.col("packed").alias("pb"), F.col("n").alias("nb")), "b")
+        hubs.join(c.select(F.col("sig").alias("b"), F.col("packed").alias("pb"), F.col("n").alias("nb")), "b")
         .filter(100 * F.least("na", "nb") >= p.per_cent * F.greatest("na", "nb"))
         .select("a", "b", "pa", "pb")
     )
     return both.mapInArrow(run, "a binary, b binary, est double")
 
 
-def _pairs_in(sig: list, label: list, n: np.ndarray, packed: np.ndarray, side: np.ndarray, band: int, nearest: bool, p: Params) -> Iterator[tuple]:
+def _pairs_in(sig: list, label: list, n: np.ndarray, words: np.ndarray, keys: np.ndarray, side: np.ndarray, band: int, nearest: bool, p: Params) -> Iterator[tuple]:
     """Pairs of one block (side 0 everywhere) or of two blocks (sides 0 and 1) in different
     components; with `nearest`, for each class the one with the highest estimate only."""
     ids = {x: i for i, x in enumerate(dict.fromkeys(label))}
     lab = np.array([ids[x] for x in label])
-    keys = band_keys(packed)
     two = bool(side.any())
     least = p.least_estimate
     for at in range(0, len(sig), 32):
@@ -178,7 +203,7 @@ def _pairs_in(sig: list, label: list, n: np.ndarray, packed: np.ndarray, side: n
         i, j = np.nonzero(ok)
         if not len(i):
             continue
-        est = np.concatenate([estimate((packed[rows[i[k : k + 65536]]] == packed[j[k : k + 65536]]).sum(1), p) for k in range(0, len(i), 65536)])
+        est = np.concatenate([estimate(words[rows[i[k : k + 65536]]], words[j[k : k + 65536]], p) for k in range(0, len(i), 65536)])
         good = est >= least
         i, j, est = rows[i[good]], j[good], est[good]
         if nearest:
@@ -199,8 +224,9 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params,
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
     mixed = materialize(mixed.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks")), "mixed")
-    c = classes.select("sig", "packed", "n")
-    rows = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    c = classes.select("sig", "packed", "n", "keys")
+    # A crowded bucket's rows are dealt out before each becomes one for every block of the bucket.
+    rows = placed.join(mixed, "key").repartition("key", "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "key", "band", "sig", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
@@ -211,9 +237,8 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params,
         out, held, now = Batcher(schema), [], None
 
         def search():
-            sig, label, packed, n, side = zip(*[(r[2], r[3], r[7], r[8], r[6]) for r in held])
-            m = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-            yield from _pairs_in(list(sig), list(label), np.array(n), m, np.array(side), held[0][1], nearest, p)
+            _, _, sig, label, _, _, side, packed, n, keys = zip(*held)
+            yield from _pairs_in(list(sig), list(label), np.array(n), as_words(list(packed)), np.array(keys, np.int64), np.array(side), held[0][1], nearest, p)
 
         for batch in batches:
             for row in zip(*(col.to_pylist() for col in batch.columns)):
@@ -230,17 +255,32 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params,
                     yield out.flush()
         yield out.flush()
 
-    dealt = rows.select("key", "band", "sig", "label", "i", "j", "side", "packed", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sig")
+    dealt = rows.select("key", "band", "sig", "label", "i", "j", "side", "packed", "n", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sig")
     found = materialize(dealt.mapInArrow(run, "a binary, b binary, est double"), "apart")
     discard(placed)
     discard(mixed)
     return found
 
 
-def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """sig and text (that of the smallest doc_id) of the wanted classes."""
     needed = wanted.select("sig").distinct().join(classes.select("sig", "rep"), "sig")
-    return materialize(docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("sig", "text"), "texts")
+    named = docs.filter(F.col("doc_id").isNotNull()).join(needed.filter(F.col("rep").isNotNull()), docs["doc_id"] == needed["rep"]).select("sig", "text")
+    # Texts whose ids are all null are found by their sets.
+    schema = pa.schema([("sig", pa.binary()), ("text", pa.string())])
+
+    def run(batches):
+        sk, out = Sketcher(p), Batcher(schema)
+        for b in text_batches(batches):
+            for text in b.column(0).to_pylist():
+                s = sk.shingles(text)
+                if len(s) and out.add((set_id(s), text), len(text)):
+                    yield out.flush()
+        yield out.flush()
+
+    unnamed = docs.filter(F.col("doc_id").isNull()).select("text").mapInArrow(run, "sig binary, text string")
+    unnamed = unnamed.join(needed.filter(F.col("rep").isNull()).select("sig"), "sig").groupBy("sig").agg(F.min("text").alias("text"))
+    return materialize(named.union(unnamed), "texts")
 
 
 def _confirmed(pairs: DataFrame, t: DataFrame, p: Params) -> DataFrame:
@@ -266,11 +306,8 @@ def _confirmed(pairs: DataFrame, t: DataFrame, p: Params) -> DataFrame:
                     yield out.flush()
         yield out.flush()
 
-    joined = (
-        pairs.join(t.withColumnRenamed("sig", "b").withColumnRenamed("text", "tb"), "b")
-        .join(t.withColumnRenamed("sig", "a").withColumnRenamed("text", "ta"), "a")
-        .select("a", "b", "ta", "tb")
-    )
+    half = beside(pairs, t.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b", "a", p)
+    joined = beside(half, t.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a", "b", p, pairs).select("a", "b", "ta", "tb")
     return materialize(joined.mapInArrow(run, "a binary, b binary"), "links")
 
 
@@ -318,7 +355,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     hubs = materialize(bands.groupBy("key").agg(F.min("sig").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub"), "hubs")
     shared = materialize(bands.join(hubs, "key").select("key", "band", "sig", "hub"), "buckets")
     discard(hubs)
-    texts = _texts(shared, classes, docs)
+    texts = _texts(shared, classes, docs, p)
 
     star = shared.filter(F.col("sig") != F.col("hub")).select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
     best = _near_hub(star, classes, p).groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
@@ -333,6 +370,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rest = _apart(shared, labels, classes, p, nearest=False).select("a", "b")
     more = _confirmed(rest, texts, p)
     discard(shared)
+    discard(texts)
     if not more.isEmpty():
         labels = components(links.union(more))
 
