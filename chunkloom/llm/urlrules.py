@@ -5,15 +5,22 @@ that end in the block label and pass the support, confidence and lift thresholds
 kept, all but those that say nothing new: wherever such a rule fires, a kept rule with
 fewer tokens and no less confidence fires too. They match by inverted index: each rule is
 filed under its rarest token, a URL looks up its tokens, and a rule found that way fires
-if the URL has all of its tokens. The index is a literal of the plan, so judging a URL is
-one projection; an index that outgrows a literal is joined.
+if the URL has all of its tokens. The index is a literal of the plan, cut into buckets by
+the token's crc32 so that a look-up meets a few tokens only, and judging a URL is one
+projection; an index that outgrows a literal is joined.
+
+Tokens that occur in the same labelled URLs (the labels of one host, the segments of one
+template) are one item while rules are mined, as no rule can tell them apart; a URL has the
+item if it has one of the tokens. So a site whose URLs share many tokens costs one item.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import zlib
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -66,7 +73,8 @@ def url_tokens(host: Column, path: Column, query: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    index: dict[str, list[dict]]  # token -> rules filed under it
+    index: dict[str, list[dict]]  # item -> rules filed under it
+    items: dict[str, str] = field(default_factory=dict)  # token -> its item, if that is another token
 
 
 def minimal(rules: Iterable[tuple[list[str], float]], freq: dict[str, int]) -> dict[str, list[dict]]:
@@ -90,35 +98,72 @@ def mine(urls: DataFrame, p: Params = Params()) -> Model:
     Rows with a null label teach nothing. Ties between rules go by their tokens, so the
     model is the same in every run.
     """
+    least = lambda n: max(p.support, p.least_urls / n)
     parts = urls.filter(F.col("block").isNotNull()).select(*[c.alias(n) for c, n in zip(url_parts(F.col("url")), "hpq")], "block")
-    baskets = parts.select(
-        F.concat(url_tokens(F.col("h"), F.col("p"), F.col("q")), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
-    n = baskets.count()
+    parts = parts.select(url_tokens(F.col("h"), F.col("p"), F.col("q")).alias("tokens"), "block")
+    n = parts.count()
     if n == 0:
         return Model({})
-    fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, max(p.support, p.least_urls / n)), minConfidence=p.confidence, numPartitions=p.partitions).fit(baskets)
+    items = same_rows(parts.select("tokens"), math.ceil(min(1.0, least(n)) * n - 1e-9))
+    mapped = item_of(F.col("tokens"), items)
+    baskets = parts.select(F.concat(mapped, F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    fitted = FPGrowth(itemsCol="items", minSupport=min(1.0, least(n)), minConfidence=p.confidence, numPartitions=p.partitions).fit(baskets)
     rules = (
         fitted.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= p.lift))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence").orderBy(F.size("tokens"), "tokens")
     )
     # Both come in full: frequent tokens are few (1 / support by a URL's tokens at most), rules pass one by one.
     freq = {r["t"]: r["n"] for r in fitted.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), F.col("freq").alias("n")).collect()}
-    return Model(minimal(((r["tokens"], r["confidence"]) for r in rules.toLocalIterator(prefetchPartitions=True)), freq))
+    index = minimal(((r["tokens"], r["confidence"]) for r in rules.toLocalIterator(prefetchPartitions=True)), freq)
+    named = {t for own in index.values() for r in own for t in r["tokens"]}
+    return Model(index, {t: i for t, i in items.items() if i in named})
+
+
+def same_rows(rows: DataFrame, least: int) -> dict[str, str]:
+    """Tokens of `least` rows or more that occur in just the rows that another one does, and the
+    smallest such token. Rows are told apart by their tokens: equal rows hold the same ones."""
+    held = rows.groupBy("tokens").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("tokens").cast("decimal(38,0)"))
+    in_rows = held.select("n", "key", F.xxhash64(F.lit(5), "tokens").cast("decimal(38,0)").alias("key2"), F.explode("tokens").alias("t"))
+    marks = in_rows.groupBy("t").agg(F.sum("n").alias("n"), F.sum("key").alias("a"), F.sum("key2").alias("b")).filter(F.col("n") >= least)
+    groups = marks.groupBy("n", "a", "b").agg(F.min("t").alias("item"), F.collect_list("t").alias("ts")).filter(F.size("ts") > 1)  # frequent tokens are few
+    return {t: r["item"] for r in groups.select("item", "ts").collect() for t in r["ts"] if t != r["item"]}
+
+
+def _bucketed(pairs: dict, size: int = 4) -> list[dict]:
+    out: list[dict] = [{} for _ in range(max(1, len(pairs) // size))]
+    for k, v in pairs.items():
+        out[zlib.crc32(k.encode()) % len(out)][k] = v
+    return out
+
+
+def _looked_up(key: Column, buckets: list[dict], kind: str) -> Column:
+    """What the buckets hold for a string, or null."""
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+    return F.try_element_at(F.get(table, (F.crc32(key.cast("binary")) % len(buckets)).cast("int")), key)
+
+
+def item_of(tokens: Column, items: dict[str, str]) -> Column:
+    """The distinct items of the tokens."""
+    if not items:
+        return tokens
+    buckets = _bucketed(items)
+    return F.array_distinct(F.transform(tokens, lambda t: F.coalesce(_looked_up(t, buckets, "string"), t)))
 
 
 def confidence(tokens: Column, model: Model) -> Column:
-    """The highest confidence of the rules that fire, 0 if none does."""
+    """The highest confidence of the rules that fire on the items, 0 if none does."""
     if not model.index:
         return F.lit(0.0)
-    index = F.from_json(F.lit(json.dumps(model.index)), "map<string,array<struct<tokens:array<string>,confidence:double>>>")
-    filed = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
+    buckets = _bucketed(model.index)
+    found = F.transform(tokens, lambda t: _looked_up(t, buckets, "array<struct<tokens:array<string>,confidence:double>>"))
+    filed = F.flatten(F.filter(found, lambda x: x.isNotNull()))
     fired = F.filter(filed, lambda r: F.forall(r["tokens"], lambda t: F.array_contains(tokens, t)))
     return F.aggregate(fired, F.lit(0.0), lambda best, r: F.greatest(best, r["confidence"]))
 
 
 def with_confidence(rows: DataFrame, model: Model, literal: int = LITERAL) -> DataFrame:
     """rows (with a column tokens) and their confidence."""
+    rows = rows.withColumn("tokens", item_of(F.col("tokens"), model.items))
     if len(json.dumps(model.index)) <= literal:
         return rows.withColumn("confidence", confidence(F.col("tokens"), model))
     filed = [(t, x["tokens"], x["confidence"]) for t, own in model.index.items() for x in own]
@@ -134,7 +179,8 @@ def judge(pages: DataFrame, model: Model, rules=LIST, literal: int = LITERAL) ->
 
     The list's longest fitting rule decides; without one, the mined rules do: block if one
     fires, else allow. A null url, or one without `://`, has an empty host and path, fits no
-    rule and is allowed. Repeated rows are judged alike; other columns are ignored.
+    rule and is allowed. Repeated rows are judged alike, an empty table gives no rows, and a
+    very long url is judged whole; other columns are ignored.
     """
     host, path, query = url_parts(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), query.alias("query"))
