@@ -38,6 +38,9 @@ from .common import Batcher, materialize, text_batches
 #: composed form, with or without ASCII punctuation behind them (one run, one token group).
 PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
 
+#: Texts on which the way by words must agree with the tokenizer before it is used.
+PROBES = ("Some plain Words, all APART.", "one  two\n\nthree\tfour ", " Straße ÀÉ naïve; (x) it's don't", "A.B.,C 12 x34 5y ... !?", "tHe wOrd wOrDs, wOrD.", "été ñandú Öl über")
+
 
 @dataclass(frozen=True)
 class Params:
@@ -84,7 +87,8 @@ class Tokens:
     The tokenizer drops white space and never joins what stands on its two sides, so a
     text's ids are those of its white-space-separated parts; a part that was seen before
     costs one look-up. A plain word goes to the BPE model itself, the rest through the
-    whole tokenizer.
+    whole tokenizer. A tokenizer that gives a text of PROBES other ids than this way does
+    (it keeps capitals or white space, say) is asked for whole texts.
     """
 
     def __init__(self, path: str, limit: int):
@@ -99,6 +103,11 @@ class Tokens:
         self.odd = re.compile("[\x1c-\x1f]").search  # split() parts here, the tokenizer does not
         self.letters = str.maketrans(_byte_letters())
         self.known, self.stems = Known(self._part), Known(self._stem)
+        self.whole = False
+        self.whole = any(self.ids(t) != self._all(t) for t in PROBES)
+
+    def _all(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _stem(self, word: str) -> bytes:
         q = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
@@ -107,15 +116,15 @@ class Tokens:
     def _part(self, part: str) -> bytes:
         m = self.plain(part)
         if m is None:
-            return np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._all(part)
         return self.stems[m[1].lower()] + self.stems[m[2]] if m[2] else self.stems[m[1].lower()]
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if self.odd(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.whole or self.odd(text):
+            return self._all(text)
         if len(self.known) > self.limit:
             self.known.clear()
             self.stems.clear()
@@ -127,12 +136,11 @@ def tokenize(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     `at` counts the tokens of the same source before the row in its part.
     """
-    path = tokenizer_path(p)
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     end = np.array([p.end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens, part = Tokens(path, p.known_words), TaskContext.get().partitionId()
+        tokens, part = Tokens(tokenizer_path(p), p.known_words), TaskContext.get().partitionId()
         out, seen = Batcher(schema), Counter()
         for b in text_batches(batches):
             for doc_id, text, source in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -298,8 +306,8 @@ def pack_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """Tokenise `docs` (doc_id, text, source) and pack every token into one sequence position.
 
     Null and empty texts are a document of the end id alone. Repeated rows are packed as
-    often as they occur; a null source is a queue of its own, as is a null doc_id no
-    problem: it is carried along. An empty table gives no pieces. Other columns are ignored.
+    often as they occur; a null source counts as the source '' and shares its queue, and a
+    null doc_id is carried along. An empty table gives no pieces. Other columns are ignored.
     """
     tokens = materialize(tokenize(docs, p), "tokens")
     return pack(tokens, p)
