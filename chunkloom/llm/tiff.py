@@ -29,10 +29,18 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 
+#: No coding yields more bytes for one: a 12-bit LZW code stands for 4096 bytes at most.
+MOST_EXPANSION = 4096
+
+
 class TiffError(ValueError):
     pass
 
 
+#: What reading a damaged file may raise.
+FAULTS = (ArithmeticError, LookupError, MemoryError, TypeError, ValueError, struct.error, zlib.error)
+
+
 def packbits_encode(data: bytes) -> bytes:
     """Runs of 3 and more equal bytes as repeats, all else as literals of up to 128."""
     a = np.frombuffer(data, np.uint8)
@@ -227,9 +235,13 @@ def _page(buf: bytes, number: int, t: dict[int, tuple], e: str) -> Page:
     offsets, counts = (t[TILE_OFFSETS], t[TILE_COUNTS]) if tiled else (t[STRIP_OFFSETS], t.get(STRIP_COUNTS))
     if counts is None:
         raise TiffError("strips without byte counts")
+    if not bw or not bh or not spp:
+        raise TiffError("strips, tiles or pixels without size")
     nx, ny = -(-w // bw), -(-h // bh)
     if len(offsets) < nx * ny * planes:
         raise TiffError("too few strips or tiles")
+    if planes * per * w * h * dt.itemsize > MOST_EXPANSION * min(len(buf), sum(counts)):
+        raise TiffError("more samples than the file can hold")
     out = np.zeros((planes, h, w, per), dt)
     for k in range(nx * ny * planes):
         plane, j = divmod(k, nx * ny)
@@ -328,16 +340,18 @@ class Layout:
 
     width: int = 576
     rows: int = 256
-    compression: int = DEFLATE
+    codecs: tuple[int, ...] = (DEFLATE, LZW, PACKBITS, NONE)  # taken in turn by a file's pages
 
 
 def store_bytes(payload: bytes, layout: Layout = Layout()) -> bytes:
     """A multi-page TIFF of the payload (a positive multiple of the width): strips with
-    predictor on even pages, tiles without on odd ones."""
+    predictor on even pages, tiles without on odd ones. The payload's crc32 says with which
+    of the codecs its pages begin, so all codecs are met evenly and equal payloads are equal files."""
+    begin = zlib.crc32(payload)
     image = np.frombuffer(payload, np.uint8).reshape(-1, layout.width)
     pages = []
     for i, y in enumerate(range(0, len(image), layout.rows)):
-        pages.append((image[y : y + layout.rows], layout.compression, *((2, None) if i % 2 == 0 else (1, (64, layout.width)))))
+        pages.append((image[y : y + layout.rows], layout.codecs[(begin + i) % len(layout.codecs)], *((2, None) if i % 2 == 0 else (1, (64, layout.width)))))
     return write_tiff(pages, rows_per_strip=64)
 
 
@@ -352,48 +366,90 @@ PAGE_SCHEMA = pa.schema([
 PAGE_DDL = "doc_id long, media binary, page int, n_pages int, width int, height int, samples int, bits int, compression int, data binary, error string"
 
 
-def texts_as_media(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty), padded, as a TIFF file."""
-    schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("n_bytes", pa.int64())])
-
-    def run(batches):
-        out = Batcher(schema)
-        for b in text_batches(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                media = store_bytes(padded(raw, layout.width), layout)
-                if out.add((doc_id, media, len(raw)), len(media)):
+MEDIA_SCHEMA = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("n_bytes", pa.int64())])
+MEDIA_DDL = "doc_id long, media binary, n_bytes long"
+DIGEST_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32()),
+])
+DIGEST_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
+Batches = Iterator[pa.RecordBatch]
+
+
+def store(batches: Batches, layout: Layout = Layout()) -> Batches:
+    """Batches of (doc_id, text) to batches of MEDIA_SCHEMA."""
+    out = Batcher(MEDIA_SCHEMA)
+    for b in text_batches(batches):
+        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            media = store_bytes(padded(raw, layout.width), layout)
+            if out.add((doc_id, media, len(raw)), len(media)):
+                yield out.flush()
+    yield out.flush()
+
+
+def pages_of(batches: Batches) -> Batches:
+    """Batches that begin with (doc_id, media) to batches of PAGE_SCHEMA; the pages of a file
+    follow each other."""
+    out = Batcher(PAGE_SCHEMA)
+    for b in text_batches(batches):
+        for doc_id, buf in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                if not buf:
+                    raise TiffError("no file")
+                pages = list(read_pages(buf))
+                if not pages:
+                    raise TiffError("no page")
+                rows = [(doc_id, buf if i == 0 else None, p.number, len(pages), p.width, p.height, p.samples, p.bits, p.compression, p.data, None) for i, p in enumerate(pages)]
+            except FAULTS as err:
+                rows = [(doc_id, buf, -1, 1, None, None, None, None, None, None, str(err) or type(err).__name__)]
+            for row in rows:
+                if out.add(row, len(row[9] or b"") + len(row[1] or b"")):
                     yield out.flush()
-        yield out.flush()
+    yield out.flush()
+
+
+def digests(batches: Batches) -> Batches:
+    """Batches of PAGE_SCHEMA, a file's pages one after another, to batches of DIGEST_SCHEMA."""
+    out, held, media = Batcher(DIGEST_SCHEMA), [], b""
+    for b in batches:
+        cols = [b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "media", "page", "n_pages", "data", "error")]
+        for doc_id, buf, page, n_pages, data, error in zip(*cols):
+            if error is not None:
+                raise TiffError(f"document {doc_id}: {error}")
+            if page == 0:
+                held, media = [], buf
+            held.append(data)
+            if page + 1 < n_pages:
+                continue
+            payload = b"".join(held)
+            # UTF-8 never holds byte 255, so the padding is what rstrip takes off.
+            row = (
+                doc_id, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
+                len(media), hashlib.sha256(media).hexdigest(), features(payload, n_pages), n_pages,
+            )
+            if out.add(row, 400):
+                yield out.flush()
+    yield out.flush()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary, n_bytes long")
+
+def texts_as_media(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
+    """doc_id, n_bytes and media: each whole text (null: empty), padded, as a TIFF file."""
+    return _texts(docs).mapInArrow(lambda batches: store(batches, layout), MEDIA_DDL)
 
 
 def media_pages(media: DataFrame) -> DataFrame:
-    """One row per page of each TIFF in column `media` (rows keep their order; the pages of
-    a file follow each other). The file itself is on its first page's row.
+    """One row per page of each TIFF in column `media`. The file itself is on its first page's row.
 
     A null, empty or broken file gives one row with page -1 and the reason in `error`;
-    pages before the fault are not emitted. Repeated rows give repeated pages.
+    pages before the fault are not emitted. Repeated rows give repeated pages, an empty table
+    none; other columns are ignored.
     """
-
-    def run(batches):
-        out = Batcher(PAGE_SCHEMA)
-        for b in text_batches(batches):
-            for doc_id, buf in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    if not buf:
-                        raise TiffError("no file")
-                    pages = list(read_pages(buf))
-                    rows = [(doc_id, buf if i == 0 else None, p.number, len(pages), p.width, p.height, p.samples, p.bits, p.compression, p.data, None) for i, p in enumerate(pages)]
-                except (TiffError, zlib.error) as err:
-                    rows = [(doc_id, buf, -1, 1, None, None, None, None, None, None, str(err))]
-                for row in rows:
-                    if out.add(row, len(row[9] or b"") + len(row[1] or b"")):
-                        yield out.flush()
-        yield out.flush()
-
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, PAGE_DDL)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media")).mapInArrow(pages_of, PAGE_DDL)
 
 
 def features(payload: bytes, n_pages: int) -> str:
@@ -406,35 +462,8 @@ def features(payload: bytes, n_pages: int) -> str:
 def media_digest(docs: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Store each text as media, read it back page by page, and digest what was read.
 
-    The three steps pipe within one stage; the pages of a file reach the digest one
-    after another, so nothing is shuffled or grouped.
+    The three steps pass batches on within one task, so the pages of a file reach the digest
+    one after another whatever Spark does with rows, and nothing is shuffled or grouped.
+    Null texts are empty; equal texts have equal values; an empty table gives no rows.
     """
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32()),
-    ])
-
-    def run(batches):
-        out, held, media = Batcher(schema), [], b""
-        for b in batches:
-            cols = [b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc_id", "media", "page", "n_pages", "data", "error")]
-            for doc_id, buf, page, n_pages, data, error in zip(*cols):
-                if error is not None:
-                    raise TiffError(f"document {doc_id}: {error}")
-                if page == 0:
-                    held, media = [], buf
-                held.append(data)
-                if page + 1 < n_pages:
-                    continue
-                payload = b"".join(held)
-                out_row = (
-                    doc_id, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                    len(media), hashlib.sha256(media).hexdigest(), features(payload, n_pages), n_pages,
-                )
-                if out.add(out_row, 400):
-                    yield out.flush()
-        yield out.flush()
-
-    # UTF-8 never holds byte 255, so the padding is what rstrip takes off.
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
-    return media_pages(texts_as_media(docs, layout)).mapInArrow(run, ddl)
+    return _texts(docs).mapInArrow(lambda batches: digests(pages_of(store(batches, layout))), DIGEST_DDL)

@@ -82,7 +82,7 @@ def test_tiff_round_trip(comp):
     rng = random.Random(comp)
     for n in (1, 576, 577, 200_000):
         data = tiff.padded(bytes(rng.choice(b"aaab") if rng.random() < 0.6 else rng.randrange(255) for _ in range(n)))
-        media = tiff.store_bytes(data, tiff.Layout(compression=comp))
+        media = tiff.store_bytes(data, tiff.Layout(codecs=(comp,)))
         pages = list(tiff.read_pages(media))
         assert b"".join(p.data for p in pages) == data and len(pages) == -(-len(data) // (576 * 256))
 
