@@ -56,12 +56,14 @@ def lzw(data: bytes) -> bytes:
         raise UnsupportedCodec("old-style LZW is not supported")
     strings: list[bytes] = []
     out: list[bytes] = []
-    pos, width, before = 0, 9, b""
-    bits = int.from_bytes(data, "big")
-    total = len(data) * 8
-    while pos + width <= total:
-        code = (bits >> (total - pos - width)) & ((1 << width) - 1)
-        pos += width
+    width, before = 9, b""
+    bits = held = 0
+    for byte in data:
+        bits, held = ((bits << 8) | byte) & 0xFFFFFF, held + 8
+        if held < width:
+            continue
+        held -= width
+        code = (bits >> held) & ((1 << width) - 1)
         if code == 257:
             break
         if code == 256:
@@ -105,6 +107,17 @@ def register_rejection(name: str, reason: str) -> None:
     _REJECTED[name] = reason
 
 
+def extras() -> tuple[dict, dict]:
+    """What users registered in this process, for a task to `adopt`."""
+    return {k: v for k, v in _REGISTRY.items() if _BUILT_IN.get(k) is not v}, dict(_REJECTED)
+
+
+def adopt(registered: tuple[dict, dict]) -> None:
+    _REGISTRY.update(registered[0])
+    _REJECTED.clear()
+    _REJECTED.update(registered[1])
+
+
 def _columns(cfg: dict, ctx: dict) -> int:
     return cfg.get("columns") or ctx["chunks"][-1 if cfg.get("samples", 1) == 1 else -2]
 
@@ -130,7 +143,8 @@ def _delta(d: bytes, c: dict, undo: bool) -> bytes:
 
 register_codec("delta", lambda d, c, x: _delta(d, c, True), lambda d, c, x: _delta(d, c, False))
 register_rejection("blosc", "no blosc library is at hand")
-register_rejection("jpeg2000_tile", "no JPEG 2000 library is at hand")
+register_rejection("jpeg2000_tile", "no JPEG 2000 library is at hand; register_codec can add a decoder (sources.jp2.standalone makes a tile a codestream)")
+_BUILT_IN = dict(_REGISTRY)
 
 
 def lookup_codec(name: str) -> tuple[Decoder, Decoder | None]:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def grid_size(shape: Column, chunks: Column) -> Column:
     """Chunks along each dimension; a last one may reach over the edge."""
-    return F.zip_with(shape, chunks, lambda n, c: F.floor((n + c - 1) / c).cast("long"))
+    return F.zip_with(shape, chunks, lambda n, c: quotient(n + c - 1, c))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """Integer division of numbers that are not negative, exact beyond 2^53 (`/` makes doubles)."""
+    return F.call_function("div", a, b)
 
 
 def product(values: Column) -> Column:
@@ -22,7 +27,7 @@ def _below(grid: Column, d: Column) -> Column:
 
 def delinearize(lin: Column, grid: Column) -> Column:
     dims = F.when(F.size(grid) > 0, F.sequence(F.lit(0), F.size(grid) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(dims, lambda d: F.floor(lin / _below(grid, d)).cast("long") % F.element_at(grid, d + 1))
+    return F.transform(dims, lambda d: quotient(lin, _below(grid, d)) % F.element_at(grid, d + 1))
 
 
 def linearize(index: Column, grid: Column) -> Column:

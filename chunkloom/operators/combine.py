@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import grid
 from ..manifest import Manifest
 from ..schema import VIRTUAL
-from .listing import all_chunks
+from .listing import affine_chunks
 
 
 def merge_tables(members: DataFrame) -> DataFrame:
@@ -38,9 +39,34 @@ def remap(chunks: DataFrame, members: DataFrame, merged: DataFrame) -> DataFrame
     return own.withColumn("file_id", F.when(F.col("state") == VIRTUAL, F.col("new_id"))).drop("new_id")
 
 
-def _tagged(ms: list[Manifest], what: str) -> DataFrame:
-    get = (lambda m: all_chunks(m)) if what == "chunks" else (lambda m: getattr(m, what))
-    return reduce(DataFrame.unionByName, [get(m).withColumn("member", F.lit(i)) for i, m in enumerate(ms)])
+@dataclass(frozen=True)
+class Members:
+    """Manifests that are to be combined, as one set of tables with a member column (0, 1, ...)."""
+
+    files: DataFrame
+    arrays: DataFrame
+    chunks: DataFrame  # of a formula's arrays there are none
+    attrs: list[dict]
+    names: list[str]
+    held: tuple = ()
+
+    @staticmethod
+    def of(ms: list[Manifest] | Members, what: str = "this") -> Members:
+        if isinstance(ms, Members):
+            return ms
+        if not ms:
+            raise ValueError(f"{what} needs a manifest at least")
+        put = lambda get: reduce(DataFrame.unionByName, [get(m.root(what)).withColumn("member", F.lit(i)) for i, m in enumerate(ms)])
+        names = [str(m.provenance.get("path", f"layer{i}")).rsplit("/", 1)[-1].split(".")[0] for i, m in enumerate(ms)]
+        held = tuple({id(h): h for m in ms for h in m.held}.values())
+        return Members(put(lambda m: m.files), put(lambda m: m.arrays), put(lambda m: m.chunks), [m.attrs for m in ms], names, held)
+
+    def every_chunk(self) -> DataFrame:
+        return self.chunks.unionByName(affine_chunks(self.arrays))
+
+    def member(self, i: int) -> Manifest:
+        own = lambda df: df.filter(F.col("member") == i).drop("member")
+        return Manifest(own(self.files), own(self.arrays), own(self.chunks), self.attrs[i])
 
 
 def key_differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -106,34 +132,34 @@ def attr_conflicts(attrs: DataFrame) -> DataFrame:
     return attrs.groupBy("key").agg(F.count_distinct("value").alias("n_values")).filter("n_values > 1")
 
 
-def merge_attrs(ms: list[Manifest], attrs: dict | None = None) -> dict:
+def merge_attrs(members: list[dict], attrs: dict | None = None) -> dict:
     """All members' group attributes; a key that differs is an error unless `attrs` settles it."""
     out: dict = {}
-    for m in ms:
-        for k, v in m.attrs.items():
+    for own in members:
+        for k, v in own.items():
             if k in out and out[k] != v and k not in (attrs or {}):
                 raise ValueError(f"attribute {k!r} differs; give attrs= to settle it")
             out[k] = v
     return out | (attrs or {})
 
 
-def _one_table(ms: list[Manifest]) -> tuple[DataFrame, DataFrame]:
-    files = _tagged(ms, "files")
-    bad = table_conflicts(files).limit(1).collect()
+def _one_table(ms: Members) -> DataFrame:
+    bad = table_conflicts(ms.files).limit(1).collect()
     if bad:
         raise ValueError(f"conflicting sizes for {bad[0]['uri']!r}")
-    return files, merge_tables(files)
+    return merge_tables(ms.files)
 
 
 def _explicit(arrays: DataFrame) -> DataFrame:
     return arrays.withColumn("map_kind", F.lit("explicit")).withColumn("affine", F.lit(None).cast(arrays.schema["affine"].dataType))
 
 
-def concat(ms: list[Manifest], dim: str, check: str = "shape", attrs: dict | None = None) -> Manifest:
+def concat(ms: list[Manifest] | Members, dim: str, check: str = "shape", attrs: dict | None = None) -> Manifest:
     """Members, in order, stacked along a named dimension. check: shape, values or none."""
     if check not in ("shape", "values", "none"):
         raise ValueError(f"check={check!r}")
-    arrays = _tagged(ms, "arrays")
+    ms = Members.of(ms, "concat")
+    arrays = ms.arrays
     if arrays.filter(F.array_contains("dims", dim)).isEmpty():
         raise ValueError(f"no array has a dimension {dim!r}")
     bad = concat_faults(arrays, dim, check).orderBy("array_path").limit(1).collect()
@@ -143,34 +169,38 @@ def concat(ms: list[Manifest], dim: str, check: str = "shape", attrs: dict | Non
         different = shared_differences(ms, dim)
         if different:
             raise ValueError(f"shared arrays differ in values: {', '.join(different)}")
-    files, merged = _one_table(ms)
-    shaped, moved = shift_along(arrays, _tagged(ms, "chunks"), dim)
-    chunks = remap(moved, files, merged).drop("member")
-    first = ms[0].chunks.columns
-    return Manifest(merged.withColumnRenamed("new_id", "file_id"), _explicit(shaped), chunks.select(*first), merge_attrs(ms, attrs), {"concat": dim, "members": len(ms)})
+    merged = _one_table(ms)
+    shaped, moved = shift_along(arrays, ms.every_chunk(), dim)
+    chunks = remap(moved, ms.files, merged)
+    first = [c for c in ms.chunks.columns if c != "member"]
+    return Manifest(merged.withColumnRenamed("new_id", "file_id"), _explicit(shaped), chunks.select(*first), merge_attrs(ms.attrs, attrs), {"concat": dim, "members": len(ms.names)}, ms.held)
 
 
-def shared_differences(ms: list[Manifest], dim: str) -> list[str]:
+def shared_differences(ms: list[Manifest] | Members, dim: str) -> list[str]:
     """Arrays without the dimension whose decoded cells differ between members."""
     from ..plans.window import array_hash
 
-    out = []
-    for r in ms[0].arrays.filter(~F.array_contains("dims", dim)).select("array_path").collect():
-        if len({array_hash(m, r[0]) for m in ms}) > 1:
+    ms, out = Members.of(ms), []
+    for r in ms.arrays.filter((F.col("member") == 0) & ~F.array_contains("dims", dim)).select("array_path").orderBy("array_path").collect():
+        one = array_hash(ms.member(0), r[0])
+        if any(array_hash(ms.member(i), r[0]) != one for i in range(1, len(ms.names))):
             out.append(r[0])
     return out
 
 
-def merge(ms: list[Manifest], names: list[str] | None = None, attrs: dict | None = None) -> Manifest:
+def merge(ms: list[Manifest] | Members, names: list[str] | None = None, attrs: dict | None = None) -> Manifest:
     """Members as layers: a member of one array gives its name, one of several `name/path`."""
-    names = names or [str(m.provenance.get("path", f"layer{i}")).rsplit("/", 1)[-1].split(".")[0] for i, m in enumerate(ms)]
-    if len(names) != len(ms) or len(set(names)) != len(names) or not all(n and "/" not in n for n in names):
+    ms = Members.of(ms, "merge")
+    names = names or ms.names
+    if len(names) != len(ms.names) or len(set(names)) != len(names) or not all(n and "/" not in n for n in names):
         raise ValueError("names must be as many as the members, different, not empty and without /")
-    files, merged = _one_table(ms)
-    single = {i: m.arrays.limit(2).count() == 1 for i, m in enumerate(ms)}
-    label = lambda d: d.withColumn(
-        "array_path", reduce(lambda c, i: F.when(F.col("member") == i, F.lit(names[i]) if single[i] else F.concat_ws("/", F.lit(names[i]), "array_path")).otherwise(c), range(len(ms)), F.col("array_path"))
+    merged = _one_table(ms)
+    given = ms.files.sparkSession.createDataFrame(list(enumerate(names)), "member int, name string")
+    layers = ms.arrays.groupBy("member").agg((F.count("*") == 1).alias("alone")).join(given, "member")
+    label = lambda d: d.join(layers, "member").withColumn(
+        "array_path", F.when(F.col("alone"), F.col("name")).otherwise(F.concat_ws("/", "name", "array_path"))
     )
-    arrays = label(_explicit(_tagged(ms, "arrays"))).drop("member")
-    chunks = label(remap(_tagged(ms, "chunks"), files, merged)).drop("member")
-    return Manifest(merged.withColumnRenamed("new_id", "file_id"), arrays, chunks.select(*ms[0].chunks.columns), merge_attrs(ms, attrs), {"merge": json.dumps(names)})
+    first = lambda d: [c for c in d.columns if c != "member"]
+    arrays = label(_explicit(ms.arrays)).select(*first(ms.arrays))
+    chunks = label(remap(ms.every_chunk(), ms.files, merged)).select(*first(ms.chunks))
+    return Manifest(merged.withColumnRenamed("new_id", "file_id"), arrays, chunks, merge_attrs(ms.attrs, attrs), {"merge": json.dumps(names)}, ms.held)

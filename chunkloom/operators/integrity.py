@@ -58,7 +58,9 @@ def probe(files: DataFrame, size_of: Callable[[str], int | None]) -> DataFrame:
 def validate(m: Manifest, size_of: Callable[[str], int | None] | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(status, issues, summary). With `strict` the first fault raises, chunk rows before files."""
     if size_of is None:
-        from ..plans.fetch import object_size as size_of
+        from ..plans.fetch import current
+
+        size_of = current().size  # the driver's transports and checks go along
     status, found = file_status(m.files, probe(m.files, size_of)), issues(all_chunks(m), m.files)
     if strict:
         bad = found.orderBy("array_path", "chunk_lin").limit(1).collect()

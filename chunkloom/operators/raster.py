@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest
-from ..plans.window import clipped, read_window
+from ..plans.window import clipped, read_layers, read_window
 
 
 def scaled(value: Column, attrs: dict, fill) -> Column:
@@ -41,11 +41,16 @@ def raster(m: Manifest, path: str | None = None, bounds=None, scale: bool = True
             raise ValueError(f"name one of {', '.join(names)}")
         path = names[0]
     a = m.array(path)
-    group = path.rpartition("/")[0]
     cells = read_window(m, path, bounds)
     attrs = json.loads(a["attrs"] or "{}")
     if scale and a["dtype"][1:2] in "iuf":
         cells = cells.withColumn("value", scaled(F.col("value"), attrs, a["fill_value"]))
+    return with_coordinates(m, path, a, cells, bounds)
+
+
+def with_coordinates(m: Manifest, path: str, a, cells: DataFrame, bounds=None) -> DataFrame:
+    """Cells with a column for each dimension that has a coordinate array beside the array."""
+    group = path.rpartition("/")[0]
     have = {r[0] for r in m.arrays.select("array_path").filter(F.col("array_path").isin([f"{group}/{d}".lstrip("/") for d in a["dims"] or []])).collect()}
     window = clipped(bounds, a["shape"])
     for k, d in enumerate(a["dims"] or []):
@@ -69,10 +74,19 @@ def data_arrays(m: Manifest, group: str = "") -> list[str]:
 
 
 def raster_stack(m: Manifest, group: str = "", bounds=None) -> DataFrame:
-    """The group's data arrays of one shape as columns, joined on their indexes."""
+    """The group's data arrays of one shape as columns. Layers of one chunk grid are decoded
+    together; layers of several grids are joined on their indexes."""
     names = data_arrays(m, group)
     if not names:
         raise ValueError(f"no data array in {group!r}")
+    arrays = {n.rpartition("/")[2]: m.array(n) for n in names}
+    first = next(iter(arrays.values()))
+    if all(a["shape"] == first["shape"] and a["chunks"] == first["chunks"] for a in arrays.values()):
+        cells = read_layers(m, arrays, bounds)
+        for n, a in arrays.items():
+            if a["dtype"][1:2] in "iuf":
+                cells = cells.withColumn(n, scaled(F.col(n), json.loads(a["attrs"] or "{}"), a["fill_value"]))
+        return with_coordinates(m, names[0], first, cells, bounds)
     out = None
     for n in names:
         a = m.array(n)

@@ -24,46 +24,84 @@ class FormatError(ValueError):
     """A file that cannot be scanned; says which file and why."""
 
 
+#: Ways to a file's metadata: by ranges, by ranges of local files only, by reading all of it
+#: first, or by ranges where the size can be asked and all of it where not.
+ACCESS = ("auto", "local", "range", "download")
+
+
 class Reader:
-    """Byte ranges of one file through a block cache, so that a parser may seek freely."""
+    """Byte ranges of one file through a block cache, so that a parser may seek freely. Blocks
+    leave the cache in the order they came."""
 
-    def __init__(self, uri: str, block: int = 256 << 10, keep: int = 64):
+    def __init__(self, uri: str, block: int = 256 << 10, keep: int = 64, access=None, mode: str = "auto"):
         from ..plans import fetch
 
-        self.uri, self.block, self.keep, self._fetch = uri, block, keep, fetch.fetch_range
-        size = fetch.object_size(uri)
+        if mode not in ACCESS:
+            raise ValueError(f"access={mode!r}; there are {', '.join(ACCESS)}")
+        if mode == "local" and "://" in uri and not uri.startswith("file://"):
+            raise ValueError(f"{uri} is not local")
+        access = access or fetch.current()
+        self.uri, self.block, self.keep, self.access = uri, block, keep, access
+        size = access.size(uri)
         if size is None:
             raise FileNotFoundError(uri)
         self.size = size
         self._blocks: dict[int, bytes] = {}
         self.bytes_read = self.requests = 0
-
-    def at(self, offset: int, n: int) -> bytes:
-        if n < 0 or offset < 0 or offset + n > self.size:
-            raise FormatError(f"{self.uri}: {n} bytes at {offset} lie beyond the file")
-        if not n:
-            return b""
-        first, last = offset // self.block, (offset + n - 1) // self.block
-        k = first
-        while k <= last:  # runs of blocks that are not there are read at once
+        if mode == "download":
+            self.block, self.keep = max(1, size), 1
+
+    def _schedule(self, offset: int, n: int) -> None:
+        """Have the blocks of a range in the cache; runs of missing ones are read together."""
+        first, last = offset // self.block, (offset + max(n, 1) - 1) // self.block
+        plan, k = [], first
+        while k <= last:
             if k in self._blocks:
                 k += 1
                 continue
             end = k
             while end < last and end + 1 not in self._blocks:
                 end += 1
-            start, stop = k * self.block, min((end + 1) * self.block, self.size)
-            data = self._fetch(self.uri, start, stop - start)
-            self.requests, self.bytes_read = self.requests + 1, self.bytes_read + len(data)
-            for j in range(k, end + 1):
-                self._blocks[j] = data[(j - k) * self.block : (j - k + 1) * self.block]
+            plan.append((k, end))
             k = end + 1
+        spans = [(a * self.block, min((b + 1) * self.block, self.size) - a * self.block) for a, b in plan]
+        spans = [s for s in spans if s[1] > 0]
+        for (a, b), data in zip(plan, self.access.blocks(self.uri, spans)):
+            self.requests, self.bytes_read = self.requests + 1, self.bytes_read + len(data)
+            for j in range(a, b + 1):
+                self._blocks[j] = data[(j - a) * self.block : (j - a + 1) * self.block]
+
+    def prefetch(self, ranges: Iterable[tuple[int, int]], most: int = 16) -> None:
+        """Ask for the blocks of several places at once, as far as the cache has room: a parser that
+        knows where it goes next saves the waits between."""
+        wanted = sorted({k for o, n in ranges if 0 <= o < self.size for k in range(o // self.block, (min(o + max(n, 1), self.size) - 1) // self.block + 1)} - self._blocks.keys())
+        wanted = wanted[: min(most, self.keep // 2)]
+        spans = [(k * self.block, min((k + 1) * self.block, self.size) - k * self.block) for k in wanted]
+        for k, data in zip(wanted, self.access.blocks(self.uri, spans)):
+            self.requests, self.bytes_read = self.requests + 1, self.bytes_read + len(data)
+            self._blocks[k] = data
+
+    def at(self, offset: int, n: int) -> bytes:
+        if n < 0 or offset < 0 or offset + n > self.size:
+            raise FormatError(f"{self.uri}: {n} bytes at {offset} lie beyond the file")
+        if not n:
+            return b""
+        first, last = offset // self.block, (offset + n - 1) // self.block
+        self._schedule(offset, n)
         out = b"".join(self._blocks[j] for j in range(first, last + 1))
-        if len(self._blocks) > self.keep:
-            self._blocks.clear()
+        while len(self._blocks) > self.keep:
+            del self._blocks[next(iter(self._blocks))]
         return out[offset - first * self.block : offset - first * self.block + n]
 
 
+@dataclass
+class Group:
+    """A group's attributes, for parsers of formats that have them."""
+
+    path: str
+    attrs: dict
+
+
 @dataclass
 class Array:
     path: str
@@ -110,7 +148,7 @@ _FIELDS = [
 ROW_SCHEMA = pa.schema([(n, t) for n, t, _ in _FIELDS])
 ROW_DDL = ", ".join(f"{n} {s}" for n, _, s in _FIELDS)
 
-Parser = Callable[[Reader, dict], Iterator[Array]]
+Parser = Callable[[Reader, dict], Iterator["Array | Group"]]
 _DRIVERS: dict[str, tuple[str, Parser]] = {}
 _EXTENSIONS: dict[str, str] = {}
 
@@ -138,11 +176,16 @@ def stem(uri: str) -> str:
     return name.rpartition(".")[0] or name
 
 
-def rows_of(uri: str, order: int, parser: Parser, options: dict) -> Iterator[dict]:
-    reader = Reader(uri)
+def rows_of(uri: str, order: int, parser: Parser, options: dict, access=None) -> Iterator[dict]:
+    """Option access: one of ACCESS; all others are the parser's. The last row tells the scan's cost."""
+    options = dict(options)
+    reader = Reader(uri, access=access, mode=options.pop("access", "auto"))
     yield {"ord": order, "kind": "file", "uri": uri, "size": reader.size}
     named: set[str] = set()
     for a in parser(reader, options):
+        if isinstance(a, Group):
+            yield {"ord": order, "kind": "group", "uri": uri, "array_path": a.path, "attrs": json.dumps(finite(a.attrs))}
+            continue
         path = a.path or stem(uri)  # a root array is known by its file's name
         if path in named or (named and not a.path):
             raise FormatError(f"{uri}: an array at the root beside others")
@@ -158,6 +201,7 @@ def rows_of(uri: str, order: int, parser: Parser, options: dict) -> Iterator[dic
             yield {"ord": order, "kind": "chunk", "uri": uri, "array_path": path, "chunk_lin": lin, "state": schema.VIRTUAL, "offset": offset, "nbytes": nbytes}
         for lin, data in a.inline.items():
             yield {"ord": order, "kind": "chunk", "uri": uri, "array_path": path, "chunk_lin": lin, "state": schema.INLINE, "inline": data}
+    yield {"ord": order, "kind": "cost", "uri": uri, "offset": reader.requests, "nbytes": reader.bytes_read}
 
 
 def _batches(rows: Iterator[dict], size: int = 8192) -> Iterator[pa.RecordBatch]:
@@ -174,24 +218,43 @@ def _batches(rows: Iterator[dict], size: int = 8192) -> Iterator[pa.RecordBatch]
 def scan_rows(spark: SparkSession, paths: list[str], driver: str | None = None, **options) -> DataFrame:
     """Metadata rows of all files, a task for each."""
     todo = [(i, p, driver or driver_for(p)) for i, p in enumerate(paths)]
-    table = dict(_DRIVERS)
+    from ..plans import fetch
+
+    table, access = dict(_DRIVERS), fetch.current()
 
     def run(batches):
         for b in batches:
             for order, uri, name in zip(*(b.column(i).to_pylist() for i in range(3))):
-                yield from _batches(rows_of(uri, order, table[name][1], options))
+                yield from _batches(rows_of(uri, order, table[name][1], options, access))
 
     src = spark.createDataFrame(todo, "ord long, uri string, driver string").repartition(len(todo), "ord")
     return src.mapInArrow(run, ROW_DDL)
 
 
-def manifest_of(rows: DataFrame, provenance: dict | None = None) -> Manifest:
-    """The three tables of scanned rows (of one file; several are combined by concat or merge)."""
+def scan_cost(rows: DataFrame) -> DataFrame:
+    """Requests and bytes that each file's scan took."""
+    return rows.filter("kind = 'cost'").select("ord", "uri", F.col("offset").alias("requests"), F.col("nbytes").alias("bytes_read"))
+
+
+def root_attrs(rows: DataFrame) -> dict[int, dict]:
+    """The root groups' attributes by file (one small row a file)."""
+    return {r["ord"]: json.loads(r["attrs"]) for r in rows.filter("kind = 'group' and array_path = ''").select("ord", "attrs").collect()}
+
+
+def tables_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, arrays and chunks of scanned rows, each with its member (the file's place in the list)."""
     f = rows.filter("kind = 'file'")
-    files = f.select((F.col("ord") + 1).alias("file_id"), "uri", F.lit(None).cast("string").alias("etag"), "size", F.lit(None).cast("double").alias("mtime"))
+    member = F.col("ord").cast("int").alias("member")
+    files = f.select(member, (F.col("ord") + 1).alias("file_id"), "uri", F.lit(None).cast("string").alias("etag"), "size", F.lit(None).cast("double").alias("mtime"))
     a = rows.filter("kind = 'array'")
     affine = F.when(F.col("base").isNotNull(), F.struct((F.col("ord") + 1).alias("file_id"), "base", "strides", "chunkbytes"))
-    arrays = a.select("array_path", "dtype", "shape", "chunks", "dims", "fill_value", "compressor", "filters", "attrs", F.when(F.col("base").isNull(), "explicit").otherwise("affine").alias("map_kind"), affine.alias("affine"))
+    arrays = a.select(member, "array_path", "dtype", "shape", "chunks", "dims", "fill_value", "compressor", "filters", "attrs", F.when(F.col("base").isNull(), "explicit").otherwise("affine").alias("map_kind"), affine.alias("affine"))
     c = rows.filter("kind = 'chunk'")
-    chunks = c.select("array_path", "chunk_lin", "state", F.when(F.col("state") == schema.VIRTUAL, F.col("ord") + 1).alias("file_id"), "offset", "nbytes", "inline")
-    return Manifest(files, arrays, chunks, {}, provenance or {})
+    chunks = c.select(member, "array_path", "chunk_lin", "state", F.when(F.col("state") == schema.VIRTUAL, F.col("ord") + 1).alias("file_id"), "offset", "nbytes", "inline")
+    return files, arrays, chunks
+
+
+def manifest_of(rows: DataFrame, attrs: dict | None = None, provenance: dict | None = None, held: tuple = ()) -> Manifest:
+    """The manifest of one file's scanned rows."""
+    files, arrays, chunks = (t.drop("member") for t in tables_of(rows))
+    return Manifest(files, arrays, chunks, attrs or {}, provenance or {}, held)
