@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: CF grid mapping names of EPSG projection methods.
-GRID_MAPPINGS = {
-    9801: "lambert_conformal_conic", 9802: "lambert_conformal_conic", 9804: "mercator", 9805: "mercator", 9807: "transverse_mercator", 9809: "stereographic",
-    9810: "polar_stereographic", 9829: "polar_stereographic", 9830: "polar_stereographic", 9820: "lambert_azimuthal_equal_area", 9822: "albers_conical_equal_area",
-    9835: "lambert_cylindrical_equal_area", 9840: "orthographic",
-}
-
-
 def affine_of(matrix: Column, scale: Column, tiepoint: Column) -> Column:
     """Row-major 4x4 from a matrix if there is one, else from scale and tiepoint (y downwards)."""
     at = lambda c, i: F.element_at(c, i)

@@ -1,8 +1,8 @@
 """HDF5 and NetCDF-4 metadata, from the public file format specification.
 
-Read: superblocks 0 to 3, object headers 1 and 2, groups by symbol table or compact links,
-contiguous, chunked (B-tree v1, single chunk, implicit) layouts, the filter pipeline,
-attributes, dimension scales, variable-length strings. Anything else is refused by name.
+Read: superblocks 0 to 3, object headers 1 and 2, groups by symbol table, compact or dense
+links, contiguous and chunked layouts (every chunk index), the filter pipeline, compact and
+dense attributes, dimension scales, variable-length strings. Anything else is refused by name.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from .base import Array, FormatError, Reader, register_driver
+from . import h5index
+from .base import Array, FormatError, Group, Reader, register_driver
 
 MAGIC = b"\x89HDF\r\n\x1a\n"
 UNDEFINED = 2**64 - 1
 #: Filter ids and the codecs they stand for.
 REFUSED_FILTERS = {4: "szip", 5: "nbit", 6: "scaleoffset", 32000: "lzf", 32004: "lz4", 32008: "bitshuffle", 32001: "blosc"}
-NEWER_INDEX = {3: "fixed array", 4: "extensible array", 5: "B-tree version 2"}
+NEWER_INDEX = {3: "fixed array", 4: "extensible array", 5: "btree2"}
+#: Bytes of what a layout message says about each of them before the index's address.
+ABOUT_INDEX = {3: 1, 4: 5, 5: 6}
 BOOKKEEPING = {"DIMENSION_LIST", "REFERENCE_LIST", "CLASS", "NAME", "_Netcdf4Dimid", "_Netcdf4Coordinates", "_NCProperties", "_nc3_strict"}
 
 
@@ -36,6 +39,7 @@ class Type:
 class Object:
     address: int
     space: list[int] | None = None
+    most: list[int] | None = None  # the largest extents; UNDEFINED is unlimited
     type: Type | None = None
     layout: tuple | None = None
     filters: list[tuple[int, list[int]]] = field(default_factory=list)
@@ -130,7 +134,7 @@ class File:
         attrs = []
         for kind, b in self._messages(address):
             if kind == 0x01:
-                o.space = self._space(b)
+                o.space, o.most = self._space(b), self._most(b)
             elif kind == 0x03:
                 o.type = self._type(b)[0]
             elif kind == 0x05:
@@ -145,14 +149,21 @@ class File:
             elif kind == 0x02:
                 o.is_group = True
                 at = 2 + 8 * bool(b[1] & 1)
-                if struct.unpack_from("<Q", b, at)[0] != UNDEFINED:
-                    raise FormatError(f"{self.r.uri}: a group with densely stored links (fractal heap) is not supported")
+                heap, tree = struct.unpack_from("<QQ", b, at)
+                for body in self._dense(heap, tree, 4):
+                    name, where = self._link(body)
+                    if where is not None:
+                        o.links[name] = where
             elif kind == 0x08:
                 o.layout = self._layout(b)
             elif kind == 0x0B:
                 o.filters = self._filters(b)
             elif kind == 0x0C:
                 attrs.append(b)
+            elif kind == 0x15:
+                at = 2 + 2 * bool(b[1] & 1)
+                heap, tree = struct.unpack_from("<QQ", b, at)
+                attrs += self._dense(heap, tree, 0)
             elif kind == 0x11:
                 o.is_group = True
                 tree, heap = struct.unpack("<QQ", b[:16])
@@ -162,6 +173,25 @@ class File:
             o.attrs[name] = value
         return o
 
+    def _dense(self, heap: int, tree: int, key: int) -> list[bytes]:
+        """Messages in a fractal heap, listed by a B-tree whose records hold heap ids from byte `key` on."""
+        if heap == UNDEFINED:
+            return []
+        try:
+            h = h5index.Heap(self.at, heap)
+            ids = [r[key : key + (7 if key else 8)] for r in h5index.records(self.at, tree)]
+            return [h.get(i) for i in ids]
+        except FormatError as e:
+            raise FormatError(f"{self.r.uri}: {e}") from e
+
+    @staticmethod
+    def _most(b: bytes) -> list[int] | None:
+        version, rank, flags = b[0], b[1], b[2]
+        if (version == 2 and b[3] == 2) or not rank:
+            return None
+        p = (8 if version == 1 else 4) + (8 * rank if flags & 1 else 0)
+        return list(struct.unpack_from(f"<{rank}Q", b, p))
+
     @staticmethod
     def _space(b: bytes) -> list[int] | None:
         version, rank, flags = b[0], b[1], b[2]
@@ -290,7 +320,9 @@ class File:
                 return ("single", struct.unpack_from("<Q", b, p)[0], dims, size)
             if index == 2:
                 return ("implicit", struct.unpack_from("<Q", b, p)[0], dims)
-            return ("newer", NEWER_INDEX.get(index, f"index type {index}"))
+            if index in NEWER_INDEX:
+                return (NEWER_INDEX[index], struct.unpack_from("<Q", b, p + ABOUT_INDEX[index])[0], dims)
+            return ("newer", f"index type {index}")
         return ("newer", f"layout version {version}")
 
     @staticmethod
@@ -374,6 +406,8 @@ class File:
                 raise FormatError(f"{self.r.uri}: {where}: no chunk node at {node}")
             level, n = head[5], struct.unpack_from("<H", head, 6)[0]
             data = self.at(node + 24, n * (key + 8))
+            if level:
+                self.r.prefetch((self.base + struct.unpack_from("<Q", data, i * (key + 8) + key)[0], 24 + n * (key + 8)) for i in range(n))
             for i in range(n):
                 p = i * (key + 8)
                 size, mask = struct.unpack_from("<II", data, p)
@@ -389,6 +423,31 @@ class File:
                 yield lin, self.base + child, size
 
 
+    def indexed_chunks(self, kind: str, address: int, chunks: list[int], o: Object, where: str) -> Iterator[tuple[int, int, int]]:
+        """(chunk number, offset, size) by one of the newer chunk indexes."""
+        shape, filtered = o.space, bool(o.filters)
+        counts = [-(-n // c) for n, c in zip(shape, chunks)]
+        plain = o.type.size * int(np.prod(chunks, dtype=np.int64))
+        try:
+            if kind == "btree2":
+                found = h5index.tree_chunks(self.at, address, len(shape), filtered)
+            else:
+                array = h5index.fixed_array if kind == "fixed array" else h5index.extensible_array
+                most = o.most or shape
+                found = ((h5index.grid_index(i, shape, most, chunks), *rest) for i, *rest in array(self.at, address))
+            for index, place, size, mask in found:
+                if any(i >= n for i, n in zip(index, counts)):
+                    continue  # beyond what the dataset holds now
+                if mask:
+                    raise FormatError(f"{where}: a chunk that skips filters (mask {mask})")
+                lin = 0
+                for i, n in zip(index, counts):
+                    lin = lin * n + i
+                yield lin, self.base + place, plain if size is None else size
+        except FormatError as e:
+            raise FormatError(f"{self.r.uri}: {where}: {e}") from e
+
+
 def _codecs(filters: list[tuple[int, list[int]]], size: int, where: str) -> tuple[dict | None, list[dict]]:
     """Byte filters in their order; a deflate or zstd that comes last is the compressor."""
     out = []
@@ -453,6 +512,10 @@ def _array(f: File, o: Object, path: str, names: dict[int, str]) -> Array | None
         a.chunks = o.layout[2][: len(shape)]
         a.places = f.btree_chunks(o.layout[1], a.chunks, shape, path)
         return a
+    if kind in NEWER_INDEX.values():
+        a.chunks = o.layout[2][: len(shape)]
+        a.places = f.indexed_chunks(kind, o.layout[1], a.chunks, o, path)
+        return a
     if kind == "single":
         a.chunks = o.layout[2][: len(shape)]
         if o.layout[1] != UNDEFINED:
@@ -473,6 +536,7 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
     """Options: group (a group, or one dataset), siblings (arrays that those refer to; true)."""
     f = File(r)
     paths: dict[str, int] = {}
+    groups: dict[str, dict] = {}
     seen: set[int] = set()
     todo = [("", f.root)]
     while todo:
@@ -482,6 +546,8 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
             continue
         seen.add(address)
         if o.is_group:
+            groups[path] = {k: v for k, v in o.attrs.items() if k not in BOOKKEEPING and v is not None}
+            f.r.prefetch((f.base + a, 512) for a in o.links.values())
             todo += [(f"{path}/{n}".lstrip("/"), a) for n, a in o.links.items()]
         else:
             paths[path] = address
@@ -504,6 +570,9 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
                 if q not in wanted:
                     wanted.add(q)
                     open_.append(q)
+    for path, attrs in sorted(groups.items()):
+        if attrs and (not group or path == group or path.startswith(group + "/")):
+            yield Group("" if path == group else path, attrs)
     for p in sorted(wanted):
         a = _array(f, f.object(paths[p]), p, names)
         if a is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import struct
 from collections.abc import Iterator
 
@@ -35,6 +36,31 @@ def codestream(r: Reader) -> tuple[int, int]:
     raise FormatError(f"{r.uri}: no codestream box")
 
 
+def standalone(header: bytes, data: bytes) -> bytes:
+    """The bytes of one tile as a codestream of its own: the main header with an image that is the
+    tile, its tile-parts numbered 0. For decoders that are registered as a codec."""
+    at = 2
+    while struct.unpack_from(">H", header, at)[0] != SIZ:
+        at += 2 + struct.unpack_from(">H", header, at + 2)[0]
+    x1, y1, x0, y0, tw, th, tx0, ty0 = struct.unpack_from(">8I", header, at + 6)
+    (tile,) = struct.unpack_from(">H", data, 4)
+    p, q = tile % -(-(x1 - tx0) // tw), tile // -(-(x1 - tx0) // tw)
+    left, top = max(tx0 + p * tw, x0), max(ty0 + q * th, y0)
+    right, bottom = min(tx0 + (p + 1) * tw, x1), min(ty0 + (q + 1) * th, y1)
+    own = bytearray(header)
+    struct.pack_into(">8I", own, at + 6, right, bottom, left, top, tw, th, tx0 + p * tw, ty0 + q * th)
+    out, pos = bytearray(data), 0
+    while pos + 12 <= len(out):
+        marker, _, _, n = struct.unpack_from(">HHHI", out, pos)
+        if marker != SOT:
+            break
+        struct.pack_into(">H", out, pos + 4, 0)
+        if not n:
+            break
+        pos += n
+    return bytes(own) + bytes(out) + struct.pack(">H", EOC)
+
+
 def parse(r: Reader, options: dict) -> Iterator[Array]:
     if options.get("level") not in (None, 0):
         raise FormatError(f"{r.uri}: only level 0 can be scanned")
@@ -43,6 +69,7 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
     while True:
         marker, n = struct.unpack(">HH", r.at(pos, 4))
         if marker == SOT:
+            pos_header = pos
             break
         if marker == PPM:
             raise FormatError(f"{r.uri}: packed packet headers (PPM) are not supported")
@@ -81,7 +108,8 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
         if any(a + n != b for (a, n), (b, _) in zip(own, own[1:])):
             raise FormatError(f"{r.uri}: tile {tile} is interleaved with others")
         places.append((tile, own[0][0], sum(n for _, n in own)))
-    codec = {"id": "jpeg2000_tile", "header": [at, places[0][1] - at], "tiles": [ny, nx]}
+    head = r.at(at, pos_header - at)
+    codec = {"id": "jpeg2000_tile", "header": base64.b64encode(head).decode(), "tiles": [ny, nx]}
     yield Array("0/data", ("|" if dtype[1] == "1" else "<") + dtype, [h, w], [th, tw], ["y", "x"], None, codec, [], {}, None, places)
 
 

@@ -13,10 +13,32 @@ from .. import schema
 from ..functions import grid
 from ..manifest import Manifest
 from ..operators.listing import all_chunks, array_document, attr_document, chunk_keys, implicit_groups
+from ..plans.window import dealt, fetcher
+
+
+def embedded(chunks: DataFrame, files: DataFrame, threshold: int) -> DataFrame:
+    """The chunk rows with virtual ones of fewer bytes than the threshold read in and made inline."""
+    small = (F.col("state") == schema.VIRTUAL) & (F.col("nbytes") < threshold)
+    kept = chunks.filter(~F.coalesce(small, F.lit(False)))
+    fetched, columns = fetcher(), chunks.columns
+
+    def run(batches):
+        for r, data in fetched(batches):
+            row = {"array_path": r["array_path"], "chunk_lin": r["chunk_lin"], "inline": data}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("array_path", pa.string()), ("chunk_lin", pa.int64()), ("inline", pa.binary())]))
+
+    placed = chunks.filter(small).join(files.select("file_id", "uri"), "file_id").select("array_path", "chunk_lin", "state", "uri", "offset", "nbytes", "inline")
+    read = dealt(placed).mapInArrow(run, "array_path string, chunk_lin long, inline binary")
+    nul = lambda c: F.lit(None).cast("long").alias(c)
+    state = F.when(F.col("inline").isNull(), schema.MISSING).otherwise(schema.INLINE).alias("state")
+    return kept.unionByName(read.select("array_path", "chunk_lin", state, nul("file_id"), nul("offset"), nul("nbytes"), "inline").select(*columns))
 
 
 def json_refs(chunks: DataFrame, files: DataFrame, arrays: DataFrame, inline_threshold: int = 0) -> DataFrame:
-    """key and ref (JSON text or base64 text) of every chunk that is not missing."""
+    """key and ref (JSON text or base64 text) of every chunk that is not missing. Chunks of fewer
+    bytes than the threshold are embedded."""
+    if inline_threshold > 0:
+        chunks = embedded(chunks, files, inline_threshold)
     rows = chunk_keys(arrays, chunks.filter(F.col("state") != schema.MISSING)).join(files.select("file_id", "uri"), "file_id", "left")
     place = F.to_json(F.array(F.col("uri"), F.col("offset").cast("string"), F.col("nbytes").cast("string")))
     whole = F.to_json(F.array("uri"))
@@ -35,10 +57,10 @@ def documents(m: Manifest) -> dict[str, dict]:
     return out
 
 
-def save_json(m: Manifest, path: str) -> None:
+def save_json(m: Manifest, path: str, inline_threshold: int = 0) -> None:
     """One JSON document. Its refs are written by Spark as lines and joined to a file of parts:
     the format is a single object, so the driver streams the lines into it."""
-    refs = json_refs(all_chunks(m), m.files, m.arrays)
+    refs = json_refs(all_chunks(m), m.files, m.arrays, inline_threshold)
     with open(path, "w") as f:
         f.write('{"version":1,"refs":{')
         first = True
@@ -176,7 +198,9 @@ def load_parquet(spark: SparkSession, path: str) -> Manifest:
         for b in batches:
             for name, k, total in zip(*(b.column(i).to_pylist() for i in range(3))):
                 t = pq.read_table(f"{path}/{name}/refs.{k}.parq", columns=["path", "offset", "size", "raw"])
-                n = min(t.num_rows, total - k * record)
+                n = min(record, total - k * record)
+                if t.num_rows < n:
+                    raise ValueError(f"{path}/{name}/refs.{k}.parq has {t.num_rows} of {n} references")
                 t = t.slice(0, n)
                 lin = pa.array(range(k * record, k * record + n), pa.int64())
                 uri = t.column("path").cast(pa.string()).combine_chunks()

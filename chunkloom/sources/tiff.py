@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from ..functions import geo
+from ..functions import crs, geo
 from .base import Array, FormatError, Reader, inline_array, register_driver
 
 # Fixed values of the format: byte sizes and struct codes of the field types.
@@ -118,9 +118,7 @@ def _page(r: Reader, t: dict, path: str, chunkbytes: int, fill) -> Array:
         a.chunks = [step, *chunks[1:]]
         a.affine = (offsets[0], [step * row] + [0] * (len(shape) - 1), step * row)
         return a
-    if not tiled and h % ch and comp != 5:
-        # A short last strip decodes to fewer rows; the reader pads a chunk's missing bytes.
-        pass
+    # A short last strip decodes to fewer rows; the reader pads a chunk's missing bytes.
     a.places = ((k, o, c) for k, (o, c) in enumerate(zip(offsets, counts)) if c)
     return a
 
@@ -189,6 +187,7 @@ def parse(r: Reader, options: dict) -> Iterator[Array]:
         yield a
         if role == "data" and (m is not None or epsg is not None):
             attrs = {"GeoTransform": " ".join(repr(float(x)) for x in (m[3], m[0], m[1], m[7], m[4], m[5]))} if m is not None else {}
+            attrs |= crs.grid_mapping(epsg, keys)
             if epsg is not None:
                 attrs["spatial_epsg"] = epsg
             yield inline_array(f"{head}/spatial_ref", np.array(0, "<i4"), [], attrs)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import FormatError, Reader
 
@@ -89,15 +90,47 @@ class Member:
         return b"".join(got)
 
 
+    def read_many(self, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
+        """The bytes of many ranges (offset, n), ascending and apart, in one pass over the member."""
+        end = 0
+        for offset, n in ranges:
+            if offset < end or n < 0:
+                raise ValueError("ranges must ascend and not overlap")
+            end = offset + n
+        if end > self.full:
+            raise EOFError(f"{self.r.uri}: a range reaches past the member's {self.full} bytes")
+        if self.method == 0:
+            for offset, n in ranges:
+                yield self.r.at(self.start + offset, n)
+            return
+        state, pos, out, held = zlib.decompressobj(-15), 0, 0, b""  # held: what was inflated from `out` on
+        for offset, n in ranges:
+            while out + len(held) < offset + n:
+                if out + len(held) <= offset:
+                    out, held = out + len(held), b""
+                chunk = self.r.at(self.start + pos, min(64 << 10, self.comp - pos))
+                more = state.decompress(chunk)
+                pos += len(chunk)
+                if not chunk and not more:
+                    raise EOFError(f"{self.r.uri}: the member ends early")
+                held += more
+            cut = offset - out
+            yield held[cut : cut + n]
+            out, held = offset + n, held[cut + n :]
+
+
 def members(spark: SparkSession, uris: list[str]) -> DataFrame:
     """uri, name, method, compressed, uncompressed, header_offset and data_offset of each member."""
+    from ..plans import fetch
+
+    access = fetch.current()
     names = ["uri", "name", "method", "compressed", "uncompressed", "header_offset", "data_offset"]
     types = [pa.string(), pa.string(), *[pa.int64()] * 5]
 
     def run(batches):
         for b in batches:
             for uri in b.column(0).to_pylist():
-                r = Reader(uri)
+                r = Reader(uri, access=access)
                 rows = [(uri, *m, data_offset(r, m[4])) for m in central_directory(r)]
                 cols = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
@@ -108,12 +141,15 @@ def members(spark: SparkSession, uris: list[str]) -> DataFrame:
 
 def read_members(rows: DataFrame) -> DataFrame:
     """uri, name and data of member rows (from `members`, filtered), a stream per member."""
+    from ..plans import fetch
+
+    access = fetch.current()
 
     def run(batches):
         readers: dict[str, Reader] = {}
         for b in batches:
             for m in b.to_pylist():
-                r = readers.setdefault(m["uri"], None) or Reader(m["uri"])
+                r = readers.get(m["uri"]) or Reader(m["uri"], access=access)
                 readers = {m["uri"]: r}
                 data = Member(r, m["method"], m["compressed"], m["uncompressed"], m["header_offset"]).read()
                 yield pa.RecordBatch.from_arrays([pa.array([m["uri"]]), pa.array([m["name"]]), pa.array([data], pa.binary())], names=["uri", "name", "data"])
@@ -121,16 +157,31 @@ def read_members(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "uri string, name string, data binary")
 
 
+def safe_name(name: str) -> str:
+    """A member's name as a path below a folder; one that leads elsewhere is refused."""
+    parts = name.replace("\\", "/").split("/")
+    if not name or "\0" in name or parts[0] == "" or ":" in parts[0] or ".." in parts:
+        raise FormatError(f"the member {name!r} would be written outside of its folder")
+    return "/".join(p for p in parts if p not in ("", "."))
+
+
 def extract(rows: DataFrame, directory: str) -> DataFrame:
-    """Members written below a directory that executors share, under a temporary name until whole."""
+    """Members written below a directory that executors share, under a temporary name until whole.
+    Folder entries are skipped; a name that leads out of the directory is an error."""
     import os
 
+    from ..plans import fetch
+
+    access = fetch.current()
+
     def run(batches):
         for b in batches:
             for m in b.to_pylist():
-                r = Reader(m["uri"])
+                if m["name"].endswith("/"):
+                    continue
+                to = os.path.join(directory, safe_name(m["name"]))
+                r = Reader(m["uri"], access=access)
                 member = Member(r, m["method"], m["compressed"], m["uncompressed"], m["header_offset"])
-                to = os.path.join(directory, m["name"])
                 os.makedirs(os.path.dirname(to), exist_ok=True)
                 with open(to + ".part", "wb") as f:
                     for at in range(0, member.full, 4 << 20):
@@ -139,3 +190,34 @@ def extract(rows: DataFrame, directory: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([m["name"]]), pa.array([member.full], pa.int64())], names=["name", "size"])
 
     return rows.mapInArrow(run, "name string, size long")
+
+
+def inflate_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """uri, name, offset, n and data of byte ranges (uri, name, offset, n) of member rows. A member's
+    ranges are read in one pass, in order of their offsets; overlapping ones in further passes."""
+    from ..plans import fetch
+
+    access = fetch.current()
+    asked = ranges.select("uri", "name", F.col("offset").cast("long").alias("offset"), F.col("n").cast("long").alias("n"))
+    own = rows.select("uri", "name", "method", "compressed", "uncompressed", "header_offset").join(asked, ["uri", "name"])
+    dealt = own.repartition("uri", "name").sortWithinPartitions("uri", "name", "offset", "n")
+    kind = pa.schema([("uri", pa.string()), ("name", pa.string()), ("offset", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            todo = b.to_pylist()
+            while todo:
+                m, end, now, later = todo[0], 0, [], []
+                for r in todo:
+                    same = (r["uri"], r["name"]) == (m["uri"], m["name"])
+                    if same and r["offset"] >= end:
+                        now.append(r)
+                        end = r["offset"] + r["n"]
+                    else:
+                        later.append(r)
+                member = Member(Reader(m["uri"], access=access), m["method"], m["compressed"], m["uncompressed"], m["header_offset"])
+                for r, data in zip(now, member.read_many([(r["offset"], r["n"]) for r in now])):
+                    yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("uri", "name", "offset", "n")} | {"data": data}], schema=kind)
+                todo = later
+
+    return dealt.mapInArrow(run, "uri string, name string, offset long, n long, data binary")
