@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
-#: Values of a block of a running fold, and how often blocks are put together to blocks.
-BLOCK, LEVELS = 64, 2
+#: Values of a block of a running fold.
+BLOCK = 256
 
 
 def none() -> Column:
@@ -28,19 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running(values: Column, fold: Callable[[Column, Column], Column], zero: Column, levels: int = LEVELS) -> Column:
+def running(values: Column, fold: Callable[[Column, Column], Column], zero: Column) -> Column:
     """The folds of all values before each value, and of all of them: one entry more than values.
 
-    An accumulated array is copied at every step, so arrays are folded in blocks of 64, then
-    the blocks' results in blocks.
+    An accumulated array is copied at every step, so values are folded in blocks of 256, then
+    the blocks' results.
     """
 
     def plain(xs):
         return F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(fold(F.element_at(acc, -1), x))))
 
-    if levels == 0:
-        return plain(values)
-
     def blocks(xs):
         starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / BLOCK), F.lit(0)).cast("int"))
         return let(F.transform(starts, lambda b: plain(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))), joined_up)
@@ -50,9 +47,9 @@ def running(values: Column, fold: Callable[[Column, Column], Column], zero: Colu
             parts = F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda own, start: F.transform(F.slice(own, 1, F.size(own) - 1), lambda v: fold(start, v)))
             return F.concat(F.flatten(parts), F.array(F.element_at(before, -1)))
 
-        return let(running(F.transform(inner, lambda own: F.element_at(own, -1)), fold, zero, levels - 1), shifted)
+        return let(plain(F.transform(inner, lambda own: F.element_at(own, -1))), shifted)
 
-    return let(values, lambda xs: F.when(F.size(xs) <= BLOCK, plain(xs)).otherwise(blocks(xs)))
+    return let(values, blocks)
 
 
 def located(text: Column, matches: Column, regex: str) -> Column:
