@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest
-from ..schema import INLINE, MISSING, VIRTUAL
+from ..schema import CHUNKS, INLINE, MISSING, VIRTUAL
 from .listing import affine_chunks
 
 
@@ -79,7 +79,7 @@ def set_chunk(m: Manifest, path: str, chunk_lin: int, *, uri: str | None = None,
         state = VIRTUAL
         files = push_uris(files, m.spark.createDataFrame([(uri, None, None, None)], "uri string, etag string, size long, mtime double"))
         file_id = files.filter(F.col("uri") == uri).first()["file_id"]
-    new = m.spark.createDataFrame([(path, chunk_lin, state, file_id, offset if uri else None, nbytes if uri else None, data)], m.chunks.schema)
+    new = m.spark.createDataFrame([(path, chunk_lin, state, file_id, offset if uri else None, nbytes if uri else None, data)], CHUNKS)
     return m.with_(files=files, chunks=upsert_chunks(m.chunks, new))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import codecs, grid
 from ..manifest import Manifest
-from ..operators.listing import affine_chunks
+from ..operators.listing import affine_chunks, all_chunks
 
 FETCH_ROWS = 64  # chunks that a worker fetches together
 
@@ -245,7 +245,9 @@ def read_layers(m: Manifest, arrays: dict[str, object], bounds=None) -> DataFram
     for k, a in enumerate(arrays.values()):
         own = with_chunks(m, a, numbers, window).withColumn("layer", F.lit(k))
         rows = own if rows is None else rows.unionByName(own)
-    placed = _located(m, rows, "layer").repartition("chunk_lin").sortWithinPartitions("chunk_lin", "layer")
+    # By a hash of the number: a repartition by what the union's branches seem to be partitioned by
+    # already is dropped, and adaptive planning may then change the branches.
+    placed = _located(m, rows, "layer").withColumn("_k", F.xxhash64("chunk_lin")).repartition("_k").sortWithinPartitions("chunk_lin", "layer").drop("_k")
     about = [(a["dtype"], a["compressor"], a["filters"], schema.fill_of(a["dtype"], a["fill_value"])) for a in arrays.values()]
     names = [f"i{d}" for d in range(nd)]
     fetched = fetcher()
@@ -270,6 +272,8 @@ def read_layers(m: Manifest, arrays: dict[str, object], bounds=None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes | None] = []
         for r, data in fetched(batches):  # the layers of a chunk follow each other
+            if r["layer"] != len(parts):
+                raise AssertionError(f"layer {r['layer']} of chunk {r['chunk_lin']} in place of {len(parts)}")
             parts.append(data)
             if len(parts) == len(about):
                 out = cells(r["chunk_lin"], parts)
@@ -281,6 +285,19 @@ def read_layers(m: Manifest, arrays: dict[str, object], bounds=None) -> DataFram
     return placed.mapInArrow(run, ddl)
 
 
+def chunk_bytes(m: Manifest, rows: DataFrame | None = None) -> DataFrame:
+    """array_path, chunk_lin and data (as encoded) of chunk rows, all by default; missing ones have none."""
+    fetched = fetcher()
+    kind = pa.schema([("array_path", pa.string()), ("chunk_lin", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, data in fetched(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((r["array_path"], r["chunk_lin"], data), kind)], schema=kind)
+
+    rows = all_chunks(m) if rows is None else rows
+    return dealt(_located(m, rows, "array_path")).mapInArrow(run, "array_path string, chunk_lin long, data binary")
+
+
 def array_hash(m: Manifest, path: str) -> str:
     """A hash of an array's decoded cells, whatever the layout of its chunks."""
     cells = read_window(m, path)

@@ -44,6 +44,7 @@ class Dataset:
     attrs: dict = field(default_factory=dict)
     fill: object = None
     absent: tuple[int, ...] = ()  # numbers of chunks that were never written
+    scales: tuple[str, ...] = ()  # datasets of the same group, one a dimension
 
 
 class H5Writer:
@@ -95,7 +96,16 @@ class H5Writer:
         at = self.put(b"GCOL" + struct.pack("<B3xQ", 1, 16 + len(body) + 16) + body + b"\0" * 16)
         return b"".join(struct.pack("<IQI", n, at if n else 0, i) for n, i in refs)
 
-    def dataset(self, d: Dataset) -> int:
+    def dimension_list(self, scales: list[int]) -> bytes:
+        """The attribute that refers to each dimension's scale."""
+        body = b"".join(struct.pack("<HHxxxxQQ", i, 1, 8, at) for i, at in enumerate(scales, 1))
+        heap = self.put(b"GCOL" + struct.pack("<B3xQ", 1, 16 + len(body) + 16) + body + b"\0" * 16)
+        kind = struct.pack("<BBBBI", 0x19, 0, 0, 0, 16) + struct.pack("<BBBBI", 0x17, 0, 0, 0, 8)
+        label, space = b"DIMENSION_LIST\0".ljust(16, b"\0"), self.space((len(scales),))
+        data = b"".join(struct.pack("<IQI", 1, heap, i) for i in range(1, len(scales) + 1))
+        return struct.pack("<BxHHH", 1, 15, len(kind), len(space)) + label + kind + space + data
+
+    def dataset(self, d: Dataset, scales: list[int] | None = None) -> int:
         texts = isinstance(d.values, list)
         a = None if texts else np.ascontiguousarray(d.values)
         shape = (len(d.values),) if texts else a.shape
@@ -112,6 +122,8 @@ class H5Writer:
             if filters:
                 out.append(self.message(11, struct.pack("<BB6x", 1, len(filters)) + b"".join(filters)))
         out += [self.message(12, self.attribute(k, v)) for k, v in d.attrs.items()]
+        if scales:
+            out.append(self.message(12, self.dimension_list(scales)))
         return self.header(out)
 
     def chunked(self, a: np.ndarray, d: Dataset) -> bytes:
@@ -288,7 +300,10 @@ class H5Writer:
         """tree: names to Dataset, or to (tree, attrs) for a group."""
 
         def build(tree, attrs):
-            return self.group({k: self.dataset(v) if isinstance(v, Dataset) else build(*v) for k, v in tree.items()}, attrs, dense)
+            made = {}
+            for k, v in sorted(tree.items(), key=lambda x: isinstance(x[1], Dataset) and bool(x[1].scales)):  # scales come first
+                made[k] = self.dataset(v, [made[s] for s in v.scales]) if isinstance(v, Dataset) else build(*v)
+            return self.group(made, attrs, dense)
 
         root = build(tree, attrs or {})
         head = b"\x89HDF\r\n\x1a\n" + struct.pack("<BBBBBBBBHHI", 0, 0, 0, 0, 0, 8, 8, 0, 4, 16, 0) + struct.pack("<QQQQ", 0, NOWHERE, len(self.buf), NOWHERE) + struct.pack("<QQII16x", 0, root, 0, 0)
