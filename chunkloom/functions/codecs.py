@@ -113,7 +113,9 @@ def extras() -> tuple[dict, dict]:
 
 
 def adopt(registered: tuple[dict, dict]) -> None:
-    _REGISTRY.update(registered[0])
+    """In a task: the driver's codecs, and no others that an earlier task of this process had."""
+    _REGISTRY.clear()
+    _REGISTRY.update(_BUILT_IN | registered[0])
     _REJECTED.clear()
     _REJECTED.update(registered[1])
 
