@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, pii, secrets, tiff, toxicity, urlrules
+from . import decontam, langid, licenses, neardup, packing, pii, secrets, sql, tiff, toxicity, urlrules
 from .common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,26 +66,27 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(docs, pii.train(docs)))
 
 
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_tiff_media says of the payload; the stored form's bytes are beyond SQL."""
+    return op6_tiff_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_personal_data says of the fixed formats, which no model decides."""
+    found = pii.scan(table(spark, sf_dir, "documents"), pii.Model("", 1.0))
+    return pii.digest(found).drop("spans")
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_url_rules, op2_toxicity, op3_near_duplicates, op4_decontamination, op5_language,
-        op6_tiff_media, op7_packing, op8_secrets, op9_licenses, op10_personal_data,
+        op6_tiff_media, op7_packing, op8_secrets, op9_licenses, op10_personal_data, media_payload, personal_data_base,
     )
     return {f.__name__: f for f in every}
 
 
-#: Exact links by an inverted join of shingles, and components by reachability.
-NEAR_DUPLICATES_SQL = r"""
-with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
- shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
- sizes as (select words.doc_id, count(s) as n from words left join shingles using (doc_id) group by words.doc_id),
- links as (select a.doc_id as a, b.doc_id as b from shingles a join shingles b using (s) join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
-  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
- reach as (select doc_id, doc_id as other from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
-select s.doc_id, s.n as n_shingles, c.component_id, s.doc_id = c.component_id as kept from sizes s join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {
+        "op1_url_rules": sql.url_rules(), "op3_near_duplicates": sql.NEAR_DUPLICATES, "op4_decontamination": sql.decontamination(), "op8_secrets": sql.secret_scan(),
+        "media_payload": sql.MEDIA, "personal_data_base": sql.personal_data_base(),
+    }
