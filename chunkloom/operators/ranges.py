@@ -9,12 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(ranges: DataFrame, maxgap: int, by: str = "uri") -> DataFrame:
-    """Adds island: ranges of a file that lie within maxgap of what came before (by offset)."""
-    w = Window.partitionBy(by).orderBy("offset", "nbytes")
-    end = F.max(F.col("offset") + F.col("nbytes")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.when(F.col("offset") > end + maxgap, 1).otherwise(0)
-    return ranges.withColumn("_step", step).withColumn("island", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+def islands(ranges: DataFrame, maxgap: int, by: str = "uri", stretch: int = 1 << 30) -> DataFrame:
+    """Adds island, the offset at which the island of a range begins: ranges of a file that lie
+    within maxgap of what came before (by offset).
+
+    A file is worked on in stretches of its offsets, so one of very many ranges is not one task's.
+    What crosses a border, the furthest end and the last beginning, is a row for each stretch.
+    """
+    rows = ranges.withColumn("_at", F.expr(f"offset div {stretch}"))
+    w = Window.partitionBy(by, "_at").orderBy("offset", "nbytes")
+    across = Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(by, "_at").agg(F.max(F.col("offset") + F.col("nbytes")).alias("_far")).withColumn("_far", F.max("_far").over(across))
+    inside = F.max(F.col("offset") + F.col("nbytes")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(ends, [by, "_at"]).withColumn("_end", F.greatest(inside, "_far"))  # of nulls and a number, the number
+    rows = rows.withColumn("_new", F.when(F.col("_end").isNull() | (F.col("offset") > F.col("_end") + maxgap), F.col("offset")))
+    begun = rows.groupBy(by, "_at").agg(F.max("_new").alias("_last")).withColumn("_last", F.max("_last").over(across))
+    rows = rows.join(begun, [by, "_at"]).withColumn("island", F.coalesce(F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_last"))
+    return rows.select(*ranges.columns, "island")
 
 
 def coalesce_plan(ranges: list[tuple[int, int]], maxgap: int, maxblock: int | None) -> list[tuple[int, int]]:

@@ -7,10 +7,13 @@ arrays beside a manifest.json; their dimensions are in first-fastest order.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import codecs
@@ -72,6 +75,46 @@ def write_zarr(path: str, a: np.ndarray, chunk: int, compressor: dict | None, fi
             f.write(codecs.encode_chunk(part, json.dumps(compressor) if compressor else None, [json.dumps(x) for x in filters or []]))
 
 
+def _column_chunk(path: str, k: int) -> np.ndarray:
+    """One chunk of a one-dimensional Zarr v2 array of a folder that all executors reach."""
+    with open(f"{path}/.zarray") as f:
+        doc = json.load(f)
+    n, (size,) = doc["shape"][0], doc["chunks"]
+    count = min(size, n - k * size)
+    try:
+        with open(f"{path}/{k}", "rb") as f:
+            data = f.read()
+    except FileNotFoundError:
+        return np.full(count, doc["fill_value"] or 0, doc["dtype"])
+    block = codecs.decode_chunk(data, doc["dtype"], [size], json.dumps(doc["compressor"]) if doc["compressor"] else None, [json.dumps(x) for x in doc.get("filters") or []])
+    return block[:count]
+
+
+def _column_rows(spark: SparkSession, path: str, cells: int, size: int, spans: list[tuple[int, int, str, list[int]]]) -> DataFrame:
+    """Chunk rows of the shared columns, a task reading a stretch of them; `spans` are (start, cells,
+    array path, file ids by index) of the arrays in order of their starts."""
+    starts = np.array([s for s, *_ in spans], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                index, offset, nbytes = (_column_chunk(f"{path}/columns/{c}", k) for c in ("index", "offset", "nbytes"))
+                first = k * size
+                for start, n, name, table in spans[max(0, int(np.searchsorted(starts, first, "right")) - 1) :]:
+                    if start >= first + len(index):
+                        break
+                    lo, hi = max(start, first) - first, min(start + n, first + len(index)) - first
+                    there = lo + np.flatnonzero((index[lo:hi] != schema.MISSING_INDEX) & (index[lo:hi] != schema.INLINE_INDEX))
+                    if len(there):
+                        ids = np.array(table, np.int64)[index[there].astype(np.int64) - 1]
+                        columns = [there + first - start, ids, offset[there].astype(np.int64), nbytes[there].astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), *[pa.array(c) for c in columns]], names=["array_path", "chunk_lin", "file_id", "offset", "nbytes"])
+
+    parts = -(-cells // size) if size else 0
+    found = spark.range(parts).mapInArrow(run, "array_path string, chunk_lin long, file_id long, offset long, nbytes long")
+    return found.select("array_path", "chunk_lin", F.lit(schema.VIRTUAL).alias("state"), "file_id", "offset", "nbytes", F.lit(None).cast("binary").alias("inline"))
+
+
 DELTA = {"id": "delta", "dtype": "<u8", "astype": "<u8"}
 
 
@@ -95,8 +138,7 @@ def load_zarr_manifest(spark: SparkSession, path: str) -> Manifest:
         return own
 
     shared = push(doc.get("table", []))
-    columns = None
-    arrays, chunks = [], []
+    arrays, chunks, spans = [], [], []
     for a in doc["arrays"]:
         m = a["manifest"]
         table = push(a["table"]) if "table" in a else shared
@@ -113,10 +155,8 @@ def load_zarr_manifest(spark: SparkSession, path: str) -> Manifest:
         arrays.append((*common, "explicit", None))
         n = int(np.prod(m["gridsize"], dtype=np.int64))
         if version == 3:
-            columns = columns or [read_zarr(f"{path}/columns/{c}") for c in ("index", "offset", "nbytes")]
-            index, offset, nbytes = (c[m["start"] : m["start"] + n] for c in columns)
-            if len(index) != n:
-                raise ValueError(f"{path}: the columns are shorter than {a['path']} needs")
+            spans.append((m["start"], n, a["path"], table))
+            index = None  # read by tasks
         else:
             index, offset, nbytes = (read_zarr(f"{path}/arrays/{m.get('dir', a['path'])}/{c}").ravel() for c in ("index", "offset", "nbytes"))
         grid = m["gridsize"]
@@ -126,12 +166,25 @@ def load_zarr_manifest(spark: SparkSession, path: str) -> Manifest:
         for key, text in (m.get("inline") or {}).items():
             at = [int(x) - 1 for x in key.split(",")]  # first dimension fastest, from 1
             inline[int(np.ravel_multi_index(at[::-1], grid[::-1]))] = base64.b64decode(text)
-        for k in range(n):
+        chunks += [(a["path"], k, schema.INLINE, None, None, None, inline[k]) for k in sorted(inline)]
+        for k in range(n if index is not None else 0):
             if k in inline:
-                chunks.append((a["path"], k, schema.INLINE, None, None, None, inline[k]))
-            elif index[k] not in (schema.MISSING_INDEX, schema.INLINE_INDEX):
+                continue
+            if index[k] not in (schema.MISSING_INDEX, schema.INLINE_INDEX):
                 chunks.append((a["path"], k, schema.VIRTUAL, table[int(index[k]) - 1], int(offset[k]), int(nbytes[k]), None))
-    return from_rows(spark, files, arrays, chunks, doc.get("group_attrs") or {}, doc.get("provenance") or {})
+    out = from_rows(spark, files, arrays, chunks, doc.get("group_attrs") or {}, doc.get("provenance") or {})
+    if not spans:
+        return out
+    spans.sort()
+    lengths = []
+    for c in ("index", "offset", "nbytes"):
+        with open(f"{path}/columns/{c}/.zarray") as f:
+            about = json.load(f)
+        lengths.append((about["shape"][0], about["chunks"][0]))
+    (cells, size), ends = lengths[0], [s + n for s, n, *_ in spans]
+    if len(set(lengths)) > 1 or max(ends) > cells or any(a > b for a, (b, *_) in zip(ends, spans[1:])):
+        raise ValueError(f"{path}: the columns do not have the cells that the arrays need")
+    return out.with_(chunks=out.chunks.unionByName(_column_rows(spark, path, cells, size, spans)))
 
 
 def save_zarr_manifest(m: Manifest, path: str, cells: int = 65536, compressor: dict | None = None) -> None:
