@@ -6,9 +6,9 @@ sixteen of them packed to a 64-bit word. The similarity of two signatures is est
 the bits that their exclusive or leaves, corrected for entries that are equal by chance, and
 pairs that may reach the threshold are confirmed on full sets.
 
-Copies never multiply. Equal sets are one class. In a band's bucket every class is first
-held against the bucket's smallest class only; confirmed links join classes into
-components. Buckets in which two components are left are then searched in blocks of
+Copies never multiply. Equal sets are one class. A class is first held against the smallest
+classes of its buckets only, those few that it meets in most bands; confirmed links join
+classes into components. Buckets in which two components are left are then searched in blocks of
 bounded size: first for each class's nearest one in another component, then, after those
 links are joined, for every pair that is still apart. Blocks give out only pairs whose
 estimate passes, each in the first band that holds both. A hub or text with many partners
@@ -17,6 +17,7 @@ is joined to them in portions (`beside`), so no task holds all pairs of one.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,8 @@ class Params:
     bands: int = 32
     rows: int = 8
     deviations: float = 4.0  # how far below the threshold an estimate may be
-    block: int = 1024  # classes of a bucket that are held against each other at once
+    hubs: int = 4  # of its buckets that a class is held against, those that it meets most often
+    block: int = 512  # classes of a bucket that are held against each other at once
     portion: int = 4096  # pairs of one class that are joined to it at once
     seed: int = 11
 
@@ -218,8 +220,12 @@ def _pairs_in(sig: list, label: list, n: np.ndarray, words: np.ndarray, keys: np
 
 
 def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params, nearest: bool) -> DataFrame:
-    """Pairs (a, b, est) of one bucket and different components whose estimate may reach the
-    threshold. A bucket of more than p.block classes is dealt out as pairs of blocks."""
+    """Pairs of one bucket and different components whose estimate may reach the threshold. A bucket
+    of more than p.block classes is dealt out as pairs of blocks.
+
+    With `nearest` rows are (a, b, est). Without, a block gives a row (blk, 0, a, null) for each
+    class that is in a pair, and a row (blk, 1, a, bs) for a class and all its partners in the block.
+    """
     placed = shared.join(labels, shared["sig"] == labels["id"], "left").select("key", "band", "sig", F.coalesce("label", "sig").alias("label"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi")
@@ -231,14 +237,26 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params,
     rows = rows.select(
         "key", "band", "sig", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")
     ).join(c, "sig")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("est", pa.float64())])
+    pairs_schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("est", pa.float64())])
+    lists_schema = pa.schema([("blk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("bs", pa.list_(pa.binary()))])
 
     def run(batches):
-        out, held, now = Batcher(schema), [], None
+        out, held, now = Batcher(pairs_schema if nearest else lists_schema), [], None
 
         def search():
             _, _, sig, label, _, _, side, packed, n, keys = zip(*held)
-            yield from _pairs_in(list(sig), list(label), np.array(n), as_words(list(packed)), np.array(keys, np.int64), np.array(side), held[0][1], nearest, p)
+            pairs = _pairs_in(list(sig), list(label), np.array(n), as_words(list(packed)), np.array(keys, np.int64), np.array(side), held[0][1], nearest, p)
+            if nearest:
+                yield from pairs
+                return
+            partners: dict[bytes, list[bytes]] = {}
+            for a, b, _ in pairs:
+                partners.setdefault(a, []).append(b)
+            block = xxhash.xxh3_64_intdigest(struct.pack("<qii", *now)) - 2**63
+            for a in partners.keys() | {b for bs in partners.values() for b in bs}:
+                yield (block, 0, a, None)
+            for a, bs in partners.items():
+                yield (block, 1, a, bs)
 
         for batch in batches:
             for row in zip(*(col.to_pylist() for col in batch.columns)):
@@ -256,7 +274,7 @@ def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, p: Params,
         yield out.flush()
 
     dealt = rows.select("key", "band", "sig", "label", "i", "j", "side", "packed", "n", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sig")
-    found = materialize(dealt.mapInArrow(run, "a binary, b binary, est double"), "apart")
+    found = materialize(dealt.mapInArrow(run, "a binary, b binary, est double" if nearest else "blk long, kind int, a binary, bs array<binary>"), "apart")
     discard(placed)
     discard(mixed)
     return found
@@ -311,6 +329,41 @@ def _confirmed(pairs: DataFrame, t: DataFrame, p: Params) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a binary, b binary"), "links")
 
 
+def _confirmed_in_blocks(found: DataFrame, t: DataFrame, p: Params) -> DataFrame:
+    """The same for the blocks' lists: a block's texts come to it once each, not once for each pair."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        sk, out = Sketcher(p), Batcher(schema)
+        now, sets = None, {}
+        for batch in text_batches(batches, 64):
+            for block, kind, a, bs, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if block != now:
+                    now, sets = block, {}
+                if kind == 0:
+                    s = sk.shingles(text)
+                    if set_id(s) == a:
+                        sets[a] = s
+                    continue
+                one = sets.get(a)
+                if one is None:
+                    continue
+                for b in bs:
+                    other = sets.get(b)
+                    if other is None:
+                        continue
+                    both = np.isin(one, other, assume_unique=True, kind="sort").sum()
+                    if 100 * both >= p.per_cent * (len(one) + len(other) - both) and out.add((a, b)):
+                        yield out.flush()
+        yield out.flush()
+
+    held = beside(found.filter("kind = 0").select("blk", F.col("a").alias("sig")), t, "sig", "blk", p)
+    held = held.select("blk", F.lit(0).alias("kind"), F.col("sig").alias("a"), F.lit(None).cast("array<binary>").alias("bs"), "text")
+    rows = held.unionByName(found.filter("kind = 1").withColumn("text", F.lit(None).cast("string")))
+    dealt = rows.withColumn("_k", F.xxhash64("blk")).repartition("_k").sortWithinPartitions("blk", "kind", "a").drop("_k")
+    return materialize(dealt.mapInArrow(run, "a binary, b binary"), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and label, the smallest id of its component, for each end of an edge (a, b).
 
@@ -357,7 +410,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     discard(hubs)
     texts = _texts(shared, classes, docs, p)
 
-    star = shared.filter(F.col("sig") != F.col("hub")).select(F.col("hub").alias("a"), F.col("sig").alias("b")).distinct()
+    # The bands that a class shares with a hub are a first estimate of their similarity.
+    met = shared.filter(F.col("sig") != F.col("hub")).select("sig", "hub").repartition("sig").groupBy("sig", "hub").agg(F.count("*").alias("times"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("t"), "hub"))), 1, p.hubs)  # of p.bands at most
+    star = met.groupBy("sig").agg(first.alias("met")).select(F.col("sig").alias("b"), F.explode("met").alias("m")).select(F.col("m.hub").alias("a"), "b")
     best = _near_hub(star, classes, p).groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
     links = _confirmed(best, texts, p)
     labels = components(links)
@@ -367,8 +423,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = links.union(more)
     labels = components(links)
 
-    rest = _apart(shared, labels, classes, p, nearest=False).select("a", "b")
-    more = _confirmed(rest, texts, p)
+    more = _confirmed_in_blocks(_apart(shared, labels, classes, p, nearest=False), texts, p)
     discard(shared)
     discard(texts)
     if not more.isEmpty():
