@@ -376,6 +376,14 @@ def coalesce_maxblock(spark, d):
     return ranges.coalesce_ranges(_virtual(spark, d), GAP, MOST)
 
 
+@query(_QUERIES["coalesce_maxblock"][1])
+def coalesce_udtf(spark, d):
+    """The same as a table function of SQL."""
+    ranges.register_udtf(spark)
+    _virtual(spark, d).select("uri", "offset", "nbytes").createOrReplaceTempView("_virtual_ranges")
+    return spark.sql(f"select * from coalesce_ranges(table(_virtual_ranges) partition by (uri) order by (offset, nbytes), {GAP}, {MOST})")
+
+
 @query(f"""with {VIRT_SQL}, r as (select *, chunk_lin - row_number() over (partition by array_path, file_id order by chunk_lin) as run from v),
  p as (select *, (row_number() over (partition by array_path, file_id, run order by chunk_lin) - 1) // 8 as part from r)
  select array_path, file_id, min(chunk_lin) as first_chunk, count(*) as n_chunks, sum(nbytes)::bigint as nbytes from p group by array_path, file_id, run, part""")

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import blosc
+
 
 class UnsupportedCodec(ValueError):
     pass
@@ -129,6 +131,7 @@ register_codec("gzip", lambda d, c, x: zlib.decompress(d, 31))
 register_codec("zstd", lambda d, c, x: _zstd(d), lambda d, c, x: __import__("zstandard").ZstdCompressor(level=c.get("level", 3)).compress(d))
 register_codec("shuffle", lambda d, c, x: _unshuffle(d, c.get("elementsize", 4)), lambda d, c, x: _shuffle(d, c.get("elementsize", 4)))
 register_codec("fletcher32", lambda d, c, x: _strip_fletcher(d, c), lambda d, c, x: d + fletcher32(d).to_bytes(4, "little"))
+register_codec("blosc", lambda d, c, x: blosc.decompress(d))
 register_codec("imagecodecs_lzw", lambda d, c, x: lzw(d))
 register_codec(
     "tiff_predictor", lambda d, c, x: predictor(d, np.dtype(x["dtype"]), _columns(c, x), c.get("samples", 1), True),
@@ -144,7 +147,6 @@ def _delta(d: bytes, c: dict, undo: bool) -> bytes:
 
 
 register_codec("delta", lambda d, c, x: _delta(d, c, True), lambda d, c, x: _delta(d, c, False))
-register_rejection("blosc", "no blosc library is at hand")
 register_rejection("jpeg2000_tile", "no JPEG 2000 library is at hand; register_codec can add a decoder (sources.jp2.standalone makes a tile a codestream)")
 _BUILT_IN = dict(_REGISTRY)
 

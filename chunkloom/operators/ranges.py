@@ -140,3 +140,30 @@ def undo_predictor(cells: DataFrame, by: list[str], order: str, value: str, bits
     """Horizontal differencing undone: running sums per row and band, modulo 2^bits."""
     total = F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return cells.withColumn("decoded", F.pmod(total, F.lit(1 << bits)))
+
+
+def register_udtf(spark, name: str = "coalesce_ranges") -> None:
+    """The fold as a table function of SQL, over a table of (uri, offset, nbytes):
+    select * from coalesce_ranges(table(t) partition by uri order by (offset, nbytes), maxgap, maxblock)."""
+    from pyspark.sql.functions import udtf
+
+    class CoalesceRanges:
+        def __init__(self):
+            self.block = None
+
+        def eval(self, row, maxgap: int, maxblock: int):
+            offset, stop = row["offset"], row["offset"] + row["nbytes"]
+            if self.block is not None:
+                uri, start, end, n = self.block
+                if offset - end <= maxgap and max(stop, end) - start <= maxblock:
+                    self.block = (uri, start, max(stop, end), n + 1)
+                    return
+                yield uri, start, end - start, n
+            self.block = (row["uri"], offset, stop, 1)
+
+        def terminate(self):
+            if self.block is not None:
+                uri, start, end, n = self.block
+                yield uri, start, end - start, n
+
+    spark.udtf.register(name, udtf(CoalesceRanges, returnType="uri string, block_offset long, block_nbytes long, n_ranges long"))

@@ -19,8 +19,9 @@ from .base import Array, FormatError, Group, Reader, register_driver
 MAGIC = b"\x89HDF\r\n\x1a\n"
 UNDEFINED = 2**64 - 1
 #: Filter ids and the codecs they stand for.
-REFUSED_FILTERS = {4: "szip", 5: "nbit", 6: "scaleoffset", 32000: "lzf", 32004: "lz4", 32008: "bitshuffle", 32001: "blosc"}
+REFUSED_FILTERS = {4: "szip", 5: "nbit", 6: "scaleoffset", 32000: "lzf", 32004: "lz4", 32008: "bitshuffle"}
 NEWER_INDEX = {3: "fixed array", 4: "extensible array", 5: "btree2"}
+BLOSC_NAMES = {0: "blosclz", 1: "lz4", 2: "lz4hc", 3: "snappy", 4: "zlib", 5: "zstd"}
 #: Bytes of what a layout message says about each of them before the index's address.
 ABOUT_INDEX = {3: 1, 4: 5, 5: 6}
 BOOKKEEPING = {"DIMENSION_LIST", "REFERENCE_LIST", "CLASS", "NAME", "_Netcdf4Dimid", "_Netcdf4Coordinates", "_NCProperties", "_nc3_strict"}
@@ -458,11 +459,13 @@ def _codecs(filters: list[tuple[int, list[int]]], size: int, where: str) -> tupl
             out.append({"id": "shuffle", "elementsize": cd[0] if cd else size})
         elif fid == 3:
             out.append({"id": "fletcher32"})
+        elif fid == 32001:
+            out.append({"id": "blosc", "cname": BLOSC_NAMES.get(cd[6] if len(cd) > 6 else 0, "blosclz"), "clevel": cd[4] if len(cd) > 4 else 5, "shuffle": cd[5] if len(cd) > 5 else 1})
         elif fid == 32015:
             out.append({"id": "zstd", "level": cd[0] if cd else 3})
         else:
             raise FormatError(f"{where}: filter {REFUSED_FILTERS.get(fid, fid)} is not supported")
-    if out and out[-1]["id"] in ("zlib", "zstd"):
+    if out and out[-1]["id"] in ("zlib", "zstd", "blosc"):
         return out[-1], out[:-1]
     return None, out
 

@@ -268,3 +268,58 @@ def test_grid_mappings():
     assert crs.grid_mapping(32733)["false_northing"] == 10000000.0 and "UTM zone 33S" in crs.grid_mapping(32733)["crs_wkt"]
     assert crs.grid_mapping(25832)["longitude_of_central_meridian"] == 9.0 and crs.grid_mapping(None, {3075: 11}) == {"grid_mapping_name": "albers_conical_equal_area"}
     assert crs.grid_mapping(None) == {}
+
+
+def blosc_frame(data, typesize, blocksize, kind, flags):
+    """A frame of the given stream format; split blocks where the flags do not say otherwise."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+    import zstandard
+
+    pack = {1: lambda b: pa.Codec("lz4_raw").compress(b, asbytes=True), 3: zlib.compress, 4: zstandard.ZstdCompressor().compress}[kind]
+    blocks = []
+    for at in range(0, len(data), blocksize):
+        b = data[at : at + blocksize]
+        n = len(b) // typesize
+        if flags & 4:
+            m = n - n % 8
+            bits = np.unpackbits(np.frombuffer(b, np.uint8, m * typesize).reshape(m, typesize), axis=1, bitorder="little")
+            b = np.packbits(bits.T, axis=1, bitorder="little").tobytes() + b[m * typesize :]
+        elif flags & 1:
+            b = np.frombuffer(b, np.uint8, n * typesize).reshape(n, typesize).T.tobytes() + b[n * typesize :]
+        streams = typesize if not flags & 16 and len(b) == blocksize and blocksize // typesize >= 128 else 1
+        own, size = b"", len(b) // streams
+        for k in range(streams):
+            part = b[k * size : (k + 1) * size]
+            packed = pack(part)
+            packed = packed if len(packed) < size else part
+            own += struct.pack("<i", len(packed)) + packed
+        blocks.append(own)
+    starts, at = b"", 16 + 4 * len(blocks)
+    for b in blocks:
+        starts += struct.pack("<I", at)
+        at += len(b)
+    return struct.pack("<BBBBIII", 2, 1, flags | kind << 5, typesize, len(data), blocksize, at) + starts + b"".join(blocks)
+
+
+@pytest.mark.parametrize("kind", [1, 3, 4])
+@pytest.mark.parametrize("flags", [0, 1, 4, 16, 17, 20])
+def test_blosc_frames(kind, flags):
+    from chunkloom.functions import blosc
+
+    for n in (10, 1000, 5003):
+        a = (np.arange(n) * 3 % 1001).astype("<i4").tobytes()
+        assert blosc.decompress(blosc_frame(a, 4, 4096, kind, flags)) == a
+    import struct
+
+    assert blosc.decompress(struct.pack("<BBBBIII", 2, 1, 2, 4, 8, 8, 24) + b"12345678") == b"12345678"
+
+
+def test_blosclz_matches():
+    from chunkloom.functions import blosc
+
+    # a run of 4 literals; a match of 3 at distance 4; a match of 9 + 10 at distance 1 (a repeated byte)
+    assert blosc.blosclz(bytes([3]) + b"abcd" + bytes([1 << 5, 3]), 7) == b"abcdabc"
+    assert blosc.blosclz(bytes([0]) + b"x" + bytes([7 << 5, 10, 0]), 20) == b"x" * 20
