@@ -132,7 +132,7 @@ def _dense(k: int, rows: list[dict]) -> tuple[str, bytes]:
     for r in rows:
         by.setdefault(r["source"], []).append(r["doc_id"])
     tree = {s: samples.Dataset(np.array(sorted(ids), "<i8"), (8,), "extensible") for s, ids in by.items()}
-    names = samples.Dataset(sorted(by))
+    names = samples.Dataset(sorted(by), (3,), "btree2", True, True)
     return "dense.h5", samples.H5Writer().file({"docs": (tree, {f"attr{i}": i for i in range(12)}), "names": names}, {"n": len(by)}, dense=True)
 
 

@@ -117,6 +117,7 @@ class H5Writer:
             data = self.text_heap(d.values) if texts else a.tobytes()
             out.append(self.message(8, struct.pack("<BBQQ", 3, 1, self.put(data) if data else NOWHERE, len(data))))
         else:
+            a = np.frombuffer(self.text_heap(d.values), "V16") if texts else a
             out.append(self.message(8, self.chunked(a, d)))
             filters = ([struct.pack("<HHHHI4x", 2, 0, 0, 1, a.dtype.itemsize)] if d.shuffle else []) + ([struct.pack("<HHHHI4x", 1, 0, 0, 1, 6)] if d.deflate else [])
             if filters:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -129,9 +130,12 @@ def fill_text(v) -> str | None:
 
 
 def finite(attrs: dict) -> dict:
-    """Attributes that JSON can spell."""
+    """Attributes that JSON can spell; others are left out with a warning."""
     ok = lambda v: not (isinstance(v, float) and (v != v or v in (np.inf, -np.inf)))
-    return {k: v for k, v in attrs.items() if ok(v) and (not isinstance(v, list) or all(map(ok, v)))}
+    kept = {k: v for k, v in attrs.items() if ok(v) and (not isinstance(v, list) or all(map(ok, v)))}
+    if len(kept) < len(attrs):
+        warnings.warn(f"attributes that are not finite were left out: {', '.join(sorted(attrs.keys() - kept.keys()))}", stacklevel=2)
+    return kept
 
 
 def inline_array(path: str, values: np.ndarray, dims: list[str], attrs: dict | None = None) -> Array:

@@ -7,12 +7,14 @@ dense attributes, dimension scales, variable-length strings. Anything else is re
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from ..functions import codecs
 from . import h5index
 from .base import Array, FormatError, Group, Reader, register_driver
 
@@ -487,9 +489,10 @@ def _array(f: File, o: Object, path: str, names: dict[int, str]) -> Array | None
     attrs = {k: v for k, v in o.attrs.items() if k not in BOOKKEEPING and v is not None}
     dims = _dims(f, o, names, path)
     if t.vlen_string:
-        if o.layout[0] != "contiguous":
-            raise FormatError(f"{where}: variable-length strings in chunks are not supported")
-        raw = f.at(o.layout[1], int(np.prod(shape, dtype=np.int64)) * 16) if o.layout[1] != UNDEFINED else b""
+        if o.layout[0] == "contiguous":
+            raw = f.at(o.layout[1], int(np.prod(shape, dtype=np.int64)) * 16) if o.layout[1] != UNDEFINED else b""
+        else:
+            raw = _references(f, o, path)
         texts = [x[:k] for k, x in f.vlen(raw)] or [b""] * int(np.prod(shape, dtype=np.int64))
         size = max(1, *map(len, texts)) if texts else 1
         return Array(path, f"|S{size}", shape, [max(1, n) for n in shape], dims, None, None, [], attrs, None, (), {0: b"".join(x.ljust(size, b"\0") for x in texts)})
@@ -500,9 +503,31 @@ def _array(f: File, o: Object, path: str, names: dict[int, str]) -> Array | None
     fill = None
     if o.fill is not None and t.kind != 3 and len(o.fill) == t.size:
         fill = np.frombuffer(o.fill, t.dtype)[0].item()
-    kind = o.layout[0]
     codec, filters = _codecs(o.filters, t.size, where)
-    a = Array(path, t.dtype, shape, list(shape), dims, fill, codec, filters, attrs)
+    return _placed(f, o, Array(path, t.dtype, shape, list(shape), dims, fill, codec, filters, attrs))
+
+
+def _references(f: File, o: Object, path: str) -> bytes:
+    """The references of a chunked dataset of strings, in order; zeros where no chunk is."""
+    codec, filters = _codecs(o.filters, o.type.size, f"{f.r.uri}: {path}")
+    a = _placed(f, o, Array(path, "|V16", o.space, list(o.space), None, None, codec, filters))
+    counts = [-(-n // c) for n, c in zip(a.shape, a.chunks)]
+    out = np.zeros(a.shape, "V16")
+    places = a.places
+    if a.affine:
+        base, strides, size = a.affine
+        places = [(k, base + sum(int(i) * s for i, s in zip(np.unravel_index(k, counts), strides)), size) for k in range(int(np.prod(counts)))]
+    for k, offset, n in places:
+        block = codecs.decode_chunk(f.r.at(offset, n), "|V16", a.chunks, json.dumps(codec) if codec else None, [json.dumps(x) for x in filters])
+        at = tuple(slice(i * c, min((i + 1) * c, n)) for i, c, n in zip(np.unravel_index(k, counts), a.chunks, a.shape))
+        out[at] = block[tuple(slice(0, s.stop - s.start) for s in at)]
+    return out.tobytes()
+
+
+def _placed(f: File, o: Object, a: Array) -> Array:
+    """The array with its chunk shape and where its chunks are."""
+    t, shape, path, kind = o.type, o.space, a.path, o.layout[0]
+    where = f"{f.r.uri}: {path}"
     if kind == "contiguous":
         a.chunks = [max(1, n) for n in shape]
         _, address, size = o.layout
