@@ -3,7 +3,6 @@ bounded labelled samples and Arrow batch plumbing."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Output batches of the Arrow stages hold about this many bytes.
 BATCH_BYTES = 4 << 20
 
@@ -19,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
-    session on one machine gets a temporary folder; on a cluster it is an error."""
-    try:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001 - a missing setting raises in some sessions
-        where = None
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, and a lost
     executor costs a re-read instead of a recomputation."""
