@@ -9,22 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(ranges: DataFrame, maxgap: int, by: str = "uri", stretch: int = 1 << 30) -> DataFrame:
+#: Keys are worked on in stretches of their order, so a key of very many rows is not one task's; what
+#: a stretch leaves to the next is a row.
+STRETCH = 1 << 30
+
+
+def _keys(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def _across(keys: list[str]):
+    """What all stretches before a stretch leave to it."""
+    return Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def islands(ranges: DataFrame, maxgap: int, by: str | list[str] = "uri", stretch: int = STRETCH) -> DataFrame:
     """Adds island, the offset at which the island of a range begins: ranges of a file that lie
     within maxgap of what came before (by offset).
 
-    A file is worked on in stretches of its offsets, so one of very many ranges is not one task's.
-    What crosses a border, the furthest end and the last beginning, is a row for each stretch.
+    What crosses the border of two stretches is the furthest end and the last beginning.
     """
-    rows = ranges.withColumn("_at", F.expr(f"offset div {stretch}"))
-    w = Window.partitionBy(by, "_at").orderBy("offset", "nbytes")
-    across = Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(by, "_at").agg(F.max(F.col("offset") + F.col("nbytes")).alias("_far")).withColumn("_far", F.max("_far").over(across))
+    keys, rows = _keys(by), ranges.withColumn("_at", F.expr(f"offset div {stretch}"))
+    w, across = Window.partitionBy(*keys, "_at").orderBy("offset", "nbytes"), _across(keys)
+    ends = rows.groupBy(*keys, "_at").agg(F.max(F.col("offset") + F.col("nbytes")).alias("_far")).withColumn("_far", F.max("_far").over(across))
     inside = F.max(F.col("offset") + F.col("nbytes")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.join(ends, [by, "_at"]).withColumn("_end", F.greatest(inside, "_far"))  # of nulls and a number, the number
+    rows = rows.join(ends, [*keys, "_at"]).withColumn("_end", F.greatest(inside, "_far"))  # of nulls and a number, the number
     rows = rows.withColumn("_new", F.when(F.col("_end").isNull() | (F.col("offset") > F.col("_end") + maxgap), F.col("offset")))
-    begun = rows.groupBy(by, "_at").agg(F.max("_new").alias("_last")).withColumn("_last", F.max("_last").over(across))
-    rows = rows.join(begun, [by, "_at"]).withColumn("island", F.coalesce(F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_last"))
+    begun = rows.groupBy(*keys, "_at").agg(F.max("_new").alias("_last")).withColumn("_last", F.max("_last").over(across))
+    rows = rows.join(begun, [*keys, "_at"]).withColumn("island", F.coalesce(F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_last"))
     return rows.select(*ranges.columns, "island")
 
 
@@ -77,10 +89,10 @@ def coalesce_ranges(ranges: DataFrame, maxgap: int, maxblock: int | None = None,
 
 def readahead_runs(chunks: DataFrame, most: int = 32) -> DataFrame:
     """Runs of virtual chunks that follow each other in grid order in one file, at most `most` long."""
-    w = Window.partitionBy("array_path", "file_id").orderBy("chunk_lin")
-    marked = chunks.filter("state = 'virtual'").withColumn("run", F.col("chunk_lin") - F.row_number().over(w))
-    inside = F.row_number().over(Window.partitionBy("array_path", "file_id", "run").orderBy("chunk_lin")) - 1
-    part = marked.withColumn("part", F.floor(inside / most))
+    # A run is an island of the chunk numbers, each a range of one.
+    numbers = chunks.filter("state = 'virtual'").select("array_path", "file_id", F.col("chunk_lin").alias("offset"), F.lit(1).alias("nbytes"), F.col("nbytes").alias("size"))
+    marked = islands(numbers, 0, ["array_path", "file_id"], 1 << 22).select("array_path", "file_id", F.col("offset").alias("chunk_lin"), F.col("size").alias("nbytes"), F.col("island").alias("run"))
+    part = marked.withColumn("part", F.expr(f"(chunk_lin - run) div {most}"))
     return part.groupBy("array_path", "file_id", "run", "part").agg(F.min("chunk_lin").alias("first_chunk"), F.count("*").alias("n_chunks"), F.sum("nbytes").alias("nbytes")).drop("run", "part")
 
 
@@ -96,16 +108,20 @@ def route(uris: DataFrame, bindings: DataFrame) -> DataFrame:
     return uris.join(best, "uri", "left").select(uris["*"], F.col("b.prefix").alias("prefix"), F.col("b.target").alias("target"))
 
 
-def as_of(probes: DataFrame, points: DataFrame, by: str, at: str, point: str) -> DataFrame:
+def as_of(probes: DataFrame, points: DataFrame, by: str, at: str, point: str, stretch: int = STRETCH) -> DataFrame:
     """For each probe the nearest point of its key at or before it (null without one).
 
-    Both sides are merged into one ordered sequence per key, so each row is read once.
+    Both sides are merged into one ordered sequence per key and stretch, so each row is read once;
+    a stretch's last point goes on to those behind it.
     """
     left = probes.select(by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(points.schema[point].dataType).alias("_point"))
     right = points.select(by, F.col(point).alias("_at"), F.lit(0).alias("_side"), F.col(point).alias("_point"))
-    w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("_found", F.last("_point", ignorenulls=True).over(w))
-    return both.filter("_side = 1").select(by, F.col("_at").alias(at), F.col("_found").alias(point))
+    both = left.unionByName(right).withColumn("_order", F.col("_at")).withColumn("_at", F.expr(f"_order div {stretch}"))
+    w = Window.partitionBy(by, "_at").orderBy("_order", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_found", F.last("_point", ignorenulls=True).over(w))
+    carried = both.groupBy(by, "_at").agg(F.max("_point").alias("_last")).withColumn("_last", F.max("_last").over(_across([by])))
+    out = both.filter("_side = 1").join(carried, [by, "_at"])
+    return out.select(by, F.col("_order").alias(at), F.coalesce("_found", "_last").alias(point))
 
 
 def overlaps(ranges: DataFrame, windows: DataFrame, by: str, width: int) -> DataFrame:
@@ -132,8 +148,12 @@ def delta_encode(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("delta", F.col(value) - prev)
 
 
-def delta_decode(rows: DataFrame, by: str, order: str, value: str = "delta") -> DataFrame:
-    return rows.withColumn("decoded", F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def delta_decode(rows: DataFrame, by: str, order: str, value: str = "delta", stretch: int = 1 << 22) -> DataFrame:
+    """Running sums by a whole-number order; a stretch's total goes on to those behind it."""
+    put = rows.withColumn("_at", F.expr(f"`{order}` div {stretch}"))
+    totals = put.groupBy(by, "_at").agg(F.sum(value).alias("_sum")).withColumn("_sum", F.coalesce(F.sum("_sum").over(_across([by])), F.lit(0)))
+    inside = F.sum(value).over(Window.partitionBy(by, "_at").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return put.join(totals, [by, "_at"]).withColumn("decoded", inside + F.col("_sum")).select(*rows.columns, "decoded")
 
 
 def undo_predictor(cells: DataFrame, by: list[str], order: str, value: str, bits: int) -> DataFrame:

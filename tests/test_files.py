@@ -323,3 +323,28 @@ def test_blosclz_matches():
     # a run of 4 literals; a match of 3 at distance 4; a match of 9 + 10 at distance 1 (a repeated byte)
     assert blosc.blosclz(bytes([3]) + b"abcd" + bytes([1 << 5, 3]), 7) == b"abcdabc"
     assert blosc.blosclz(bytes([0]) + b"x" + bytes([7 << 5, 10, 0]), 20) == b"x" * 20
+
+
+def test_stretches_change_nothing(spark):
+    import random
+
+    from chunkloom.operators import ranges
+
+    rng = random.Random(2)
+    rows = sorted({(u, rng.randrange(3000)): (u, rng.randrange(3000), rng.choice([0, 1, 5, 30, 900])) for u in "ab" for _ in range(300)}.values())
+    df = spark.createDataFrame(rows, "uri string, offset long, nbytes long")
+    plain = []
+    for u in "ab":
+        end = island = None
+        for o, n in sorted((o, n) for x, o, n in rows if x == u):
+            island = o if end is None or o > end + 3 else island
+            end = max(end or 0, o + n)
+            plain.append((u, island))
+    points = df.filter("nbytes = 30").select("uri", F.col("offset").alias("p"))
+    near = lambda u, o: max((p for x, p, n in rows if x == u and n == 30 and p <= o), default=None)
+    for stretch in (7, 100, 10**6):
+        assert sorted((r["uri"], r["island"]) for r in ranges.islands(df, 3, "uri", stretch).collect()) == sorted(plain)
+        got = ranges.as_of(df, points, "uri", "offset", "p", stretch).collect()
+        assert len(got) == len(rows) and all(r["p"] == near(r["uri"], r["offset"]) for r in got)
+        numbered = spark.createDataFrame([("a", i, i % 7 - 3) for i in range(500)], "k string, i long, delta long")
+        assert {r["i"]: r["decoded"] for r in ranges.delta_decode(numbered, "k", "i", stretch=stretch).collect()} == {i: sum(j % 7 - 3 for j in range(i + 1)) for i in range(500)}
