@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIndex, emit, is_training, sampled_ids, text_batches
+from .common import WordIndex, discard, emit, is_training, materialize, sampled_ids, text_batches
 
 RUN = re.compile(r"[^\W\d_]+")  # letters, and the numerals that are not decimal digits
 UNDETERMINED = "und"
@@ -156,7 +156,8 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text")).filter(
         F.col("_id").isNotNull() & F.col("_lang").isNotNull() & is_training(F.col("_id"))
     )
-    ids = F.broadcast(sampled_ids(rows, "_id", "_lang", p.per_class).select("_id"))  # its size is bounded by per_class
+    # A table of ids: Spark broadcasts it where its size allows that (per_class ids a language).
+    ids = materialize(sampled_ids(rows, "_id", "_lang", p.per_class).select("_id"), "language-sample")
     some = rows.join(ids, "_id").groupBy("_id").agg(F.min(F.struct("_lang", "_text")).alias("x")).select("_id", "x._lang", "x._text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +165,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, _, t in got], [lang for _, lang, _ in got], p))], pa.binary())], names=["model"])
 
     made = some.repartition(1).mapInArrow(run, "model binary").collect()
+    discard(ids)
     return pickle.loads(made[0]["model"]) if made else fit([], [], p)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIndex, emit, is_training, sampled_ids, text_batches
+from .common import WordIndex, discard, emit, is_training, materialize, sampled_ids, text_batches
 
 #: A word longer than this is cut into pieces; all of them count.
 PIECE = 40
@@ -249,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & is_training(F.col("_id")))
     )
-    ids = F.broadcast(sampled_ids(lab, "_id", "_y", p.per_class))  # its size is bounded by per_class
+    # A table of ids: Spark broadcasts it where its size allows that (per_class ids a class).
+    ids = materialize(sampled_ids(lab, "_id", "_y", p.per_class), "toxicity-sample")
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(ids, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (m.embeddings.tobytes(), m.softmax.tobytes())] + [pa.array([m.bias])], names=["e", "s", "b"])
 
     made = rows.repartition(1).mapInArrow(run, "e binary, s binary, b double").collect()
+    discard(ids)
     if not made:
         return fit([], [], p)
     r = made[0]
