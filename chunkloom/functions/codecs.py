@@ -109,6 +109,13 @@ def register_rejection(name: str, reason: str) -> None:
     _REJECTED[name] = reason
 
 
+def _blosc(data: bytes) -> bytes:
+    try:
+        return blosc.decompress(data)
+    except ValueError as e:
+        raise UnsupportedCodec(f"blosc: {e}") from e
+
+
 def extras() -> tuple[dict, dict]:
     """What users registered in this process, for a task to `adopt`."""
     return {k: v for k, v in _REGISTRY.items() if _BUILT_IN.get(k) is not v}, dict(_REJECTED)
@@ -131,7 +138,7 @@ register_codec("gzip", lambda d, c, x: zlib.decompress(d, 31))
 register_codec("zstd", lambda d, c, x: _zstd(d), lambda d, c, x: __import__("zstandard").ZstdCompressor(level=c.get("level", 3)).compress(d))
 register_codec("shuffle", lambda d, c, x: _unshuffle(d, c.get("elementsize", 4)), lambda d, c, x: _shuffle(d, c.get("elementsize", 4)))
 register_codec("fletcher32", lambda d, c, x: _strip_fletcher(d, c), lambda d, c, x: d + fletcher32(d).to_bytes(4, "little"))
-register_codec("blosc", lambda d, c, x: blosc.decompress(d))
+register_codec("blosc", lambda d, c, x: _blosc(d))
 register_codec("imagecodecs_lzw", lambda d, c, x: lzw(d))
 register_codec(
     "tiff_predictor", lambda d, c, x: predictor(d, np.dtype(x["dtype"]), _columns(c, x), c.get("samples", 1), True),

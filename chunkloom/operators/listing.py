@@ -42,15 +42,16 @@ def storage_size(chunks: DataFrame) -> DataFrame:
 def affine_chunks(arrays: DataFrame) -> DataFrame:
     """Chunk rows of arrays whose places are a formula, generated from it."""
     keep = [c for c in ("member",) if c in arrays.columns]
-    a = arrays.filter(F.col("map_kind") == "affine").select(*keep, "array_path", "affine", grid.grid_size(F.col("shape"), F.col("chunks")).alias("grid"))
+    formula = [F.col(f"affine.{c}").alias(f"_{c}") for c in ("file_id", "base", "strides", "chunkbytes")]
+    a = arrays.filter(F.col("map_kind") == "affine").select(*keep, "array_path", *formula, grid.grid_size(F.col("shape"), F.col("chunks")).alias("grid"))
     # Stretches of chunk numbers first, dealt out, then the numbers: no task lists those of a large array alone.
     last = grid.product(F.col("grid")) - 1
     a = a.filter(last >= 0).withColumn("last", last).select("*", F.explode(F.sequence(F.lit(0).cast("long"), grid.quotient(F.col("last"), F.lit(STRETCH)))).alias("stretch"))
     first = F.col("stretch") * STRETCH
-    rows = a.repartition("array_path", "stretch").select(*keep, "array_path", "affine", "grid", F.explode(F.sequence(first, F.least(first + STRETCH - 1, F.col("last")))).alias("chunk_lin"))
-    where = grid.affine_offset(grid.delinearize(F.col("chunk_lin"), F.col("grid")), F.col("affine.base"), F.col("affine.strides"))
+    rows = a.repartition("array_path", "stretch").select(*keep, "array_path", "_file_id", "_base", "_strides", "_chunkbytes", "grid", F.explode(F.sequence(first, F.least(first + STRETCH - 1, F.col("last")))).alias("chunk_lin"))
+    where = grid.affine_offset(grid.delinearize(F.col("chunk_lin"), F.col("grid")), F.col("_base"), F.col("_strides"))
     return rows.select(
-        *keep, "array_path", "chunk_lin", F.lit(VIRTUAL).alias("state"), F.col("affine.file_id").alias("file_id"), where.alias("offset"), F.col("affine.chunkbytes").alias("nbytes"), F.lit(None).cast("binary").alias("inline")
+        *keep, "array_path", "chunk_lin", F.lit(VIRTUAL).alias("state"), F.col("_file_id").alias("file_id"), where.alias("offset"), F.col("_chunkbytes").alias("nbytes"), F.lit(None).cast("binary").alias("inline")
     )
 
 
