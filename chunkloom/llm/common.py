@@ -3,6 +3,7 @@ bounded labelled samples and Arrow batch plumbing."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver's JVM collect, which returns heap to the system: a long series of small jobs
+    grows it far beyond what is in use, and it shrinks at a full collection only."""
+    spark._jvm.System.gc()
+
+
 def is_training(doc_id) -> F.Column:
     """Rows that labels may be learned from: crc32(doc_id as text) mod 5 is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
@@ -57,9 +64,19 @@ def sampled_ids(labelled: DataFrame, key: str, label: str, per_class: int) -> Da
     return labelled.join(counts, label).filter(spot < per_class / F.col("_n")).groupBy(key).agg(F.max(label).alias(label))
 
 
+def _trim() -> None:
+    """Return what Arrow and the C library hold unused: Spark keeps a task's worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller slices of the incoming batches, of so many rows and bytes at most (a longer text
     is a slice of its own), so that per-batch state stays small."""
+    _trim()
     for batch in batches:
         todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
         while todo:
@@ -96,7 +113,7 @@ class Batcher:
 class WordIndex(dict):
     """word -> row number; unseen words queue up until `learn` has values for them."""
 
-    def __init__(self, learn: Callable[[list[str]], list], limit: int = 600_000):
+    def __init__(self, learn: Callable[[list[str]], list], limit: int = 300_000):
         super().__init__()
         self.learn, self.limit, self.new = learn, limit, []
 

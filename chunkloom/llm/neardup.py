@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batcher, discard, materialize, text_batches
+from .common import Batcher, discard, give_back, materialize, text_batches
 
 U64 = np.uint64
 BITS = 4  # kept of each minimum
@@ -90,7 +90,7 @@ class Sketcher:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, U64)
-        if len(self.words) > 700_000:
+        if len(self.words) > 300_000:
             self.words.clear()
         h = np.fromiter(map(self.words.__getitem__, words), U64, len(words))
         k = min(self.p.shingle, len(h))
@@ -398,6 +398,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     of `docs` are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    give_back(docs.sparkSession)
     rows = materialize(sketch(docs, p), "sketch")
     classes = materialize(
         rows.filter(F.col("sig").isNotNull()).groupBy("sig")
@@ -429,6 +430,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.union(more))
 
+    give_back(docs.sparkSession)
     named = classes.join(labels, classes["sig"] == labels["id"], "left").select("sig", "rep", F.coalesce("label", "sig").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = materialize(named.join(least, "label").select("sig", "component_id"), "components")
