@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -75,6 +76,65 @@ def key_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "array_path", "full").filter(F.col("a").isNull() | F.col("b").isNull()).select("array_path", F.when(F.col("b").isNull(), "left").otherwise("right").alias("side"))
 
 
+def _height(extents: list[int], most: int) -> int:
+    """The largest number up to `most` that divides all extents; without extents, `most`."""
+    whole = math.gcd(*extents)
+    if not whole:
+        return most
+    low = [k for k in range(1, math.isqrt(whole) + 1) if whole % k == 0]
+    return max(k for d in low for k in (d, whole // d) if k <= most)
+
+
+def one_grid(ms: Members, dim: str) -> Members:
+    """Members whose arrays differ only in the chunks' rows along `dim`, their first dimension, put on
+    one chunk grid where their bytes allow that.
+
+    Rows of a formula without codecs follow each other in the file, so they are cut anew: as the
+    members with chunks of their own are cut, else by a number that divides all extents but the
+    last member's, at most the longest there was. A last member's only chunk may be a short one:
+    the reader fills what it lacks.
+    """
+    arrays = ms.arrays
+    rest = lambda c: F.slice(c, 2, F.size(c))
+    rows = arrays.filter(F.array_position("dims", dim) == 1).withColumn("_n", F.element_at("shape", 1)).withColumn("_old", F.element_at("chunks", 1))
+    mixed = rows.groupBy("array_path").agg(F.count_distinct(rest(F.col("chunks"))).alias("_rest"), F.count_distinct("_old").alias("_olds"))
+    mixed = mixed.filter("_rest = 1 and _olds > 1").select("array_path")
+    if mixed.isEmpty():
+        return ms
+    last = arrays.agg(F.max("member")).first()[0]
+    alone = F.forall(F.zip_with(rest(F.col("shape")), rest(F.col("chunks")), lambda n, c: n <= c), lambda x: x)
+    follow = (F.col("_n") <= F.col("_old")) | (F.element_at("affine.strides", 1) == F.col("affine.chunkbytes"))
+    plain = F.col("compressor").isNull() & (F.coalesce(F.size("filters"), F.lit(0)) <= 0)
+    formula = F.coalesce((F.col("map_kind") == "affine") & plain & alone & follow, F.lit(False))
+    # In one dimension a filter's columns may be the chunk's rows.
+    ends = (F.col("member") == last) & (F.col("_n") <= F.col("_old")) & ((F.size("shape") > 1) | (F.coalesce(F.size("filters"), F.lit(0)) <= 0))
+    short = (F.col("map_kind") == "explicit") & (ends | (F.col("_n") == 0))
+    rows = rows.join(mixed, "array_path").withColumn("_formula", formula).withColumn("_short", short)
+    own = F.collect_set(F.when(~F.col("_formula") & ~F.col("_short"), F.col("_old")))
+    before = F.collect_set(F.when(F.col("_formula") & (F.col("member") < last), F.col("_n")))
+    most = F.max(F.when(F.col("_formula"), F.col("_old")))
+    per = rows.groupBy("array_path").agg(own.alias("_own"), before.alias("_before"), most.alias("_most"))
+    step = F.when(F.size("_own") == 1, F.array_max("_own")).when((F.size("_own") == 0) & F.col("_most").isNotNull(), F.udf(_height, "long")("_before", "_most"))
+    per = per.withColumn("_step", step).select("array_path", "_step")
+    fits = F.col("_formula") | (F.col("_short") & (F.col("_n") <= F.col("_step")))
+    line = grid.quotient(F.col("affine.chunkbytes"), F.col("_old"))
+    cut = rows.join(per, "array_path").filter(F.col("_step").isNotNull() & (F.col("_old") != F.col("_step")) & fits)
+    cut = cut.select("member", "array_path", "_step", "_formula", line.alias("_line"), (F.col("affine.base") + F.col("_n") * line).alias("_end"))
+    # A small row for an array of a member, as the members' names are: joined as they are, not found anew.
+    cut = arrays.sparkSession.createDataFrame(cut.collect(), cut.schema)
+    size = F.col("_step") * F.col("_line")
+    strides = F.transform("affine.strides", lambda s, i: F.when(i == 0, size).otherwise(s))
+    anew = F.when(F.col("_formula"), F.struct(F.col("affine.file_id").alias("file_id"), F.col("affine.base").alias("base"), strides.alias("strides"), size.alias("chunkbytes")))
+    put = arrays.join(cut.drop("_end"), ["member", "array_path"], "left")
+    put = put.withColumn("chunks", F.when(F.col("_step").isNull(), F.col("chunks")).otherwise(F.concat(F.array("_step"), rest(F.col("chunks")))))
+    put = put.withColumn("affine", F.coalesce(anew, "affine"))
+    made = put.filter("_formula").select(*arrays.columns)
+    listed = affine_chunks(made).join(cut.select("member", "array_path", "_end"), ["member", "array_path"])
+    listed = listed.withColumn("nbytes", F.least("nbytes", F.col("_end") - F.col("offset"))).select(*ms.chunks.columns)
+    put = put.withColumn("map_kind", F.when(F.col("_formula"), "explicit").otherwise(F.col("map_kind"))).withColumn("affine", F.when(~F.coalesce("_formula", F.lit(False)), F.col("affine")))
+    return replace(ms, arrays=put.select(*arrays.columns), chunks=ms.chunks.unionByName(listed))
+
+
 def concat_faults(arrays: DataFrame, dim: str, check: str = "shape") -> DataFrame:
     """Why the members' arrays (member, array_path, ...) cannot be concatenated: (array_path, fault).
 
@@ -155,13 +215,15 @@ def _explicit(arrays: DataFrame) -> DataFrame:
 
 
 def concat(ms: list[Manifest] | Members, dim: str, check: str = "shape", attrs: dict | None = None) -> Manifest:
-    """Members, in order, stacked along a named dimension. check: shape, values or none."""
+    """Members, in order, stacked along a named dimension, contiguous ones cut to one chunk grid.
+    check: shape, values or none."""
     if check not in ("shape", "values", "none"):
         raise ValueError(f"check={check!r}")
     ms = Members.of(ms, "concat")
-    arrays = ms.arrays
-    if arrays.filter(F.array_contains("dims", dim)).isEmpty():
+    if ms.arrays.filter(F.array_contains("dims", dim)).isEmpty():
         raise ValueError(f"no array has a dimension {dim!r}")
+    ms = one_grid(ms, dim)
+    arrays = ms.arrays
     bad = concat_faults(arrays, dim, check).orderBy("array_path").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0]['array_path']}: {bad[0]['fault']}")

@@ -210,6 +210,41 @@ def test_concat_of_many_files_keeps_a_plan_of_fixed_size(spark, tmp_path):
     assert np.array_equal(grid(api.read_window(many, "0/data"), (160, 6)), matrix((160, 6)))
 
 
+@pytest.mark.parametrize("heights", [(100, 100, 56), (30, 45, 7)])
+def test_concat_cuts_contiguous_members_to_one_grid(spark, tmp_path, heights):
+    whole, paths, at = matrix((sum(heights), 6)), [], 0
+    for k, h in enumerate(heights):
+        paths.append(str(tmp_path / f"p{k}.tif"))
+        (tmp_path / f"p{k}.tif").write_bytes(samples.tiff([samples.TiffPage(whole[at : at + h], rows=10)]) + b"beyond")
+        at += h
+    m = api.concat(api.scan_series(spark, paths, chunkbytes=25 * 6 * 2), "y")
+    assert np.array_equal(grid(api.read_window(m, "0/data"), whole.shape), whole)
+    assert m.chunks.agg(F.sum("nbytes")).first()[0] == whole.nbytes and m.chunks.count() <= sum(heights) // 15 + 2
+
+
+def test_concat_of_contiguous_hdf5_of_different_extents(spark, tmp_path):
+    heights = (20, 0, 15)
+    whole, paths, at = matrix((sum(heights), 6), "<i4"), [], 0
+    for k, h in enumerate(heights):
+        paths.append(str(tmp_path / f"p{k}.h5"))
+        tree = {"v": samples.Dataset(whole[at : at + h], scales=("y", "x")), "y": samples.Dataset(np.arange(h, dtype="<i8"), attrs={"CLASS": "DIMENSION_SCALE"}), "x": samples.Dataset(np.arange(6, dtype="<i8"), attrs={"CLASS": "DIMENSION_SCALE"})}
+        with open(paths[-1], "wb") as f:
+            f.write(samples.H5Writer().file(tree, {}))
+        at += h
+    m = api.concat(api.scan_series(spark, paths), "y")
+    assert np.array_equal(grid(api.read_window(m, "v"), whole.shape), whole)
+
+
+def test_concat_takes_a_short_last_member(spark, tmp_path):
+    whole = matrix((107, 6))
+    for k, rows in enumerate((whole[:50], whole[50:100], whole[100:])):
+        (tmp_path / f"p{k}.tif").write_bytes(samples.tiff([samples.TiffPage(rows, rows=25, codec="lzw", predictor=True)]))
+    paths = [str(tmp_path / f"p{k}.tif") for k in range(3)]
+    assert np.array_equal(grid(api.read_window(api.concat(api.scan_series(spark, paths), "y"), "0/data"), whole.shape), whole)
+    with pytest.raises(ValueError, match="chunk shapes differ"):
+        api.concat(api.scan_series(spark, paths[::-1]), "y")
+
+
 def test_missing_by_no_bytes_and_short_parts(spark, tmp_path):
     from chunkloom import manifest
 
