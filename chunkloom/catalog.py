@@ -427,7 +427,7 @@ def native_start(spark, d):
 
 @query(f"with {CELLS_SQL}, q as (select i0, i1, (cast(round(v * 100) as bigint) % 256 + 256) % 256 as x from cells) select i0, i1, x as decoded from q")
 def predictor2_decode(spark, d):
-    q = embedding_cells(spark, d).select("i0", "i1", F.pmod(F.round(F.col("value") * 100).cast("long"), F.lit(256)).alias("x"))
+    q = embedding_cells(spark, d).select("i0", "i1", F.pmod(F.round(F.col("value") * F.lit(100).cast("float")).cast("long"), F.lit(256)).alias("x"))
     enc = ranges.delta_encode(q, "i0", "i1", "x").select("i0", "i1", F.pmod("delta", F.lit(256)).alias("x"))
     return ranges.undo_predictor(enc, ["i0"], "i1", "x", 8).select("i0", "i1", "decoded")
 

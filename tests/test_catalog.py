@@ -36,5 +36,20 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(names) == cols and got == want
 
 
+def test_predictor_rounds_as_its_sql_where_float_products_are_halves(spark, duck, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    v = (np.arange(-64, 64, dtype="<f8") + 0.5).astype("<f4") / np.float32(100)
+    halves = [x for x in np.concatenate([v, np.nextafter(v, np.float32(0)), np.nextafter(v, np.float32(9))]) if abs(x * np.float32(100)) % 1 == 0.5]
+    assert any(abs(float(x) * 100) % 1 != 0.5 for x in halves)
+    kind = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    pq.write_table(pa.table({"vec_id": [0, 1], "embedding": [halves, halves[::-1]]}, schema=kind), str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, catalog.queries()["predictor2_decode"](spark, str(tmp_path)).select("i0", "i1", "decoded").collect()))
+    sql = catalog.oracle_sql()["predictor2_decode"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet'")
+    assert got == sorted(duck.execute(f"select i0, i1, decoded from ({sql})").fetchall())
+
+
 def test_entry(spark):
     assert catalog.entry(spark, SF).count() == 80
