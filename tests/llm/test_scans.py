@@ -109,3 +109,14 @@ def test_empty_table_and_redaction(spark):
     assert got[10]["text"].startswith("phone [PHONE]. ") and got[10]["n_chars"] == len(got[10]["text"])
     assert got[7]["text"].startswith("mail [EMAIL], [EMAIL]@w.v")
     assert spans.brute_force("a+", "baab") == [(1, 3, "aa")]
+
+
+def test_the_driver_returns_unused_native_memory(spark, monkeypatch):
+    from chunkloom.llm import common
+
+    said = []
+    real = common.trim_native
+    monkeypatch.setattr(common, "trim_native", lambda s: said.append(real(s)))
+    common.give_back(spark)
+    assert common.materialize(spark.range(3), "three").count() == 3
+    assert len(said) == 2 and all(x and "rim native heap" in x for x in said)
